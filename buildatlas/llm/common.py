@@ -32,6 +32,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a materialised side of a join is broadcast; beyond, it is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` materialised, and marked for broadcast if its counted rows allow it; for narrow rows."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True where crc32 of the id's decimal text leaves no remainder by 5."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

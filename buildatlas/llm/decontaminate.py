@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let, words
+from .common import checkpoint, let, sized, words
 
 N = 5
 #: Sketch rows or document ids up to which they are broadcast (16 bytes each); more are joined by a shuffle.
@@ -72,7 +72,7 @@ def pairs(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` without those that hold a benchmark item."""
     bad = pairs(docs, items, threshold).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    return docs.join(sized(bad), F.col("doc_id") == F.col("__bad"), "left_anti")
 
 
 ORACLE = r"""
