@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, pii, quality, secrets, simhash, toxicity
+from . import decontaminate, langid, packing, pii, quality, secrets, simhash, substrings, toxicity
 from .common import documents
 
 
@@ -42,6 +42,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -50,5 +54,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_decontaminate, op5_secrets, op6_packing, op7_pii, op9_quality, op10_language)}
-ORACLES = {"op3_decontaminate": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_decontaminate, op5_secrets, op6_packing, op7_pii, op8_substrings, op9_quality, op10_language)}
+ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op8_substrings": substrings.ORACLE}
