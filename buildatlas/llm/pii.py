@@ -75,7 +75,10 @@ def scan(docs: DataFrame, bits: float = 6.0, share: float = 0.5, support: int =
     near = F.transform("base", lambda s: F.struct(F.xxhash64(s["kind"], s["value"]).alias("e"), before(F.col("t"), s).alias("w")))
     found = checkpoint(entities.select("doc_id", "rid", "base", F.when(F.size("base") > 0, near).alias("near")))
     pairs = found.where(F.size("base") > 0).select("rid", F.explode("near").alias("n")).select("rid", F.col("n.e").alias("e"), F.explode("n.w").alias("w"))
-    joint = checkpoint(pairs.select("rid", "e", F.col("w.value").alias("t")).distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support))
+    joint = pairs.select("rid", "e", F.col("w.value").alias("t")).distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    # A term stands in no fewer documents than those where it precedes any entity: what fails against that count fails.
+    around = pairs.select("rid", F.col("w.value").alias("t")).distinct().groupBy("t").agg(F.count("*").alias("n_around"))
+    joint = checkpoint(joint.join(around, "t").where(F.col("n_et") >= share * F.col("n_around")).drop("n_around"))
     n_e = found.where(F.size("base") > 0).select("rid", F.explode("near.e").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     # Document frequencies of the candidate terms, over all documents.
     terms = joint.select("t").distinct()
