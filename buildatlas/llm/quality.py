@@ -27,6 +27,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,14 +167,12 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataFrame:
     """``docs`` without those that the voters reject; the columns stay as they are."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, most))
-    columns = docs.columns
+    at = docs.columns.index("text")
 
-    def good(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = model.value
         for batch in batches:
-            yield batch[voters.score([t or "" for t in batch["text"]]) >= THRESHOLD]
+            yield batch.filter(pa.array(voters.score([t or "" for t in batch.column(at).to_pylist()]) >= THRESHOLD))
 
-    return docs.mapInPandas(good, docs.schema).select(columns) if columns else docs
+    return docs.mapInArrow(good, docs.schema)

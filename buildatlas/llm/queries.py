@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, pii, quality, secrets, simhash, substrings, toxicity
+from . import decontaminate, embeddings, langid, packing, pii, quality, secrets, simhash, substrings, toxicity
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.pairs(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(documents(spark, sf_dir))
 
@@ -54,5 +58,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_decontaminate, op5_secrets, op6_packing, op7_pii, op8_substrings, op9_quality, op10_language)}
-ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op8_substrings": substrings.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_decontaminate, op4_embeddings, op5_secrets, op6_packing, op7_pii, op8_substrings, op9_quality, op10_language)}
+ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op4_embeddings": embeddings.ORACLE, "op8_substrings": substrings.ORACLE}
