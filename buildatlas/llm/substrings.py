@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import sized, stored
 
 WINDOW, SEED = 35, 8
 #: Windows of a snippet, at most; repetitive text is cut into more.
@@ -57,7 +57,8 @@ class Hasher:
 
         self.of, self.known = xxhash.xxh64_intdigest, {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, bytes]:
+        """The hashes, and the words joined by one space."""
         words = (text or "").encode("utf-8", "replace").split()
         if len(self.known) > 300_000:
             self.known.clear()
@@ -66,7 +67,7 @@ class Hasher:
         for i, h in enumerate(out) if None in out else ():
             if h is None:
                 out[i] = known[words[i]] = of(words[i])
-        return np.array(out, dtype=U)
+        return np.array(out, dtype=U), b" ".join(words)
 
 
 def rolled(w: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
@@ -188,17 +189,24 @@ def repeated(snippets: list[np.ndarray], asked: np.ndarray, unit: int = 32) -> l
     return [marks[b : b + n - WINDOW + 1] for b, n in zip(begin, sizes)]
 
 
+ROWS = "rid long, doc_id long, n_words long, sha string, start int, n int, seed long, digest long, again boolean"
+
+
 def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each document (``start`` null) and one for each of its snippets."""
     hasher = Hasher()
     for batch in batches:
-        parts = []
-        for rid, text in zip(batch["rid"], batch["text"]):
-            start, n, seed, digest, again = runs(hasher(text))
+        parts, docs = [], []
+        for rid, doc, text in zip(batch["rid"], batch["doc_id"], batch["text"]):
+            w, joined = hasher(text)
+            docs.append((rid, doc, len(w), hashlib.sha256(joined).hexdigest()))
+            start, n, seed, digest, again = runs(w)
             if len(start):
                 parts.append((np.full(len(start), rid), start, n, seed.view(np.int64), digest.view(np.int64), again))
+        yield pd.DataFrame(docs, columns=["rid", "doc_id", "n_words", "sha"]).assign(start=None, n=None, seed=None, digest=None, again=None)
         if parts:
             rid, start, n, seed, digest, again = (np.concatenate(x) for x in zip(*parts))
-            yield pd.DataFrame({"rid": rid, "start": start.astype(np.int32), "n": n.astype(np.int32), "seed": seed, "digest": digest, "again": again})
+            yield pd.DataFrame({"rid": rid, "doc_id": None, "n_words": None, "sha": None, "start": start.astype(np.int32), "n": n.astype(np.int32), "seed": seed, "digest": digest, "again": again})
 
 
 def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +215,7 @@ def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for text, wanted in zip(batch["text"], batch["wanted"]):
-            w = hasher(text)
+            w, _ = hasher(text)
             rows += [(x["seed"], x["digest"], x["many"], x["hot"], w[x["start"] : x["start"] + x["n"] + WINDOW - 1].tobytes()) for x in wanted]
             if len(rows) > 5000:
                 yield pd.DataFrame(rows, columns=["seed", "digest", "many", "hot", "words"])
@@ -235,7 +243,7 @@ def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def removal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for doc, text, marks in zip(batch["doc_id"], batch["text"], batch["marks"]):
+        for rid, doc, text, marks in zip(batch["rid"], batch["doc_id"], batch["text"], batch["marks"]):
             words = (text or "").encode("utf-8", "replace").split()
             if marks is not None and len(marks):
                 change = np.zeros(len(words) + 1, np.int64)
@@ -251,25 +259,37 @@ def removal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 kept = [w for w, g in zip(words, gone.tolist()) if not g]
             else:
                 kept = words
-            rows.append((doc, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"])
+            rows.append((rid, doc, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")))
+        yield pd.DataFrame(rows, columns=["rid", "doc_id", "n_words", "n_removed", "kept"])
 
 
-def dedup(docs: DataFrame, crowd: int = 2_000, per_shard: int = 20_000) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept`` per row, ``kept`` being the kept words joined by one space."""
-    # Equal rows share an id: what holds for one holds for the other.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("rid"))
-    rows = checkpoint(texts.select("rid", "text").mapInPandas(cut, "rid long, start int, n int, seed long, digest long, again boolean"))
-    classes = rows.groupBy("seed", "digest").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("rid", "start", "n")).alias("at"))
-    classes = checkpoint(classes)
+def with_id(docs: DataFrame) -> DataFrame:
+    """Equal rows share an id: what holds for one holds for the other."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("rid"))
+
+
+def only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the ``rid`` in ``ids``, told before any text moves if the ids can be broadcast."""
+    return texts.join(sized(ids.select("rid").distinct()), "rid", "left_semi")
+
+
+def marked(docs: DataFrame, crowd: int, per_shard: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts with ids; a row per document (``rid, doc_id, n_words, sha``); and ``rid, marks`` where something repeats."""
+    texts = with_id(docs)
+    first = stored(texts.select("rid", "doc_id", "text").mapInPandas(cut, ROWS))
+    rows = first.where("start IS NOT NULL").select("rid", "start", "n", "seed", "digest", "again")
+    # Most seeds stand once in the corpus; their snippets go before anything else is done.
+    live = rows.groupBy("seed").agg((F.count("*") > 1).alias("more"), F.max("again").alias("again")).where("more OR again").select("seed")
+    rows = stored(rows.join(live, "seed", "left_semi"))
+    classes = stored(rows.groupBy("seed", "digest").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("rid", "start", "n")).alias("at")))
     seeds = classes.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1")
     shared = classes.join(seeds, "seed").select("seed", "digest", "at", (F.col("copies") > 1).alias("many"), (F.col("kinds") > crowd).alias("hot"))
     alone = classes.where("copies = 1 AND again").join(seeds, "seed", "left_anti").select("seed", "digest", "at", F.lit(False).alias("many"), F.lit(False).alias("hot"))
-    open_ = shared.union(alone)
     # One row per text: the wanted snippets' words.
-    wanted = open_.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct("at.start", "at.n", "seed", "digest", "many", "hot")).alias("wanted"))
-    once = texts.select("rid", "text").join(wanted, "rid").dropDuplicates(["rid"])
-    got = checkpoint(once.select("text", "wanted").mapInPandas(fetch, "seed long, digest long, many boolean, hot boolean, words binary"))
+    wanted = shared.union(alone).groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct("at.start", "at.n", "seed", "digest", "many", "hot")).alias("wanted"))
+    wanted = stored(wanted)
+    once = only(texts.select("rid", "text"), wanted).join(wanted, "rid").dropDuplicates(["rid"])
+    got = stored(once.select("text", "wanted").mapInPandas(fetch, "seed long, digest long, many boolean, hot boolean, words binary"))
     shards = max(1, -(-got.where("NOT hot").count() // per_shard))
     masks = got.where("NOT hot").repartition(shards, F.pmod("seed", F.lit(shards))).mapInPandas(search, "seed long, digest long, mask binary")
     each = got.where("hot").mapInPandas(windows, "seed long, digest long, many boolean, i int, a long, b long")
@@ -278,20 +298,30 @@ def dedup(docs: DataFrame, crowd: int = 2_000, per_shard: int = 20_000) -> DataF
     pack = bits.mapInPandas(lambda batches: (pd.DataFrame({"seed": b["seed"], "digest": b["digest"], "mask": [np.packbits(np.isin(np.arange(max(x) + 1), x)).tobytes() for x in b["bits"]]}) for b in batches), "seed long, digest long, mask binary")
     found = classes.where("copies > 1").select("seed", "digest", F.lit("").cast("binary").alias("mask")).union(masks).union(pack)
     marks = rows.join(found, ["seed", "digest"]).groupBy("rid").agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks"))
-    return texts.join(marks, "rid", "left").select("doc_id", "text", "marks").mapInPandas(removal, "doc_id long, n_words long, n_removed long, kept string")
+    return texts, first.where("start IS NULL").select("rid", "doc_id", "n_words", "sha"), stored(marks)
+
+
+def dedup(docs: DataFrame, crowd: int = 2_000, per_shard: int = 20_000) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept`` per row, ``kept`` being the kept words joined by one space."""
+    texts, _, marks = marked(docs, crowd, per_shard)
+    return texts.join(marks, "rid", "left").select("rid", "doc_id", "text", "marks").mapInPandas(removal, "rid long, doc_id long, n_words long, n_removed long, kept string").drop("rid")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+def digest(docs: DataFrame, crowd: int = 2_000, per_shard: int = 20_000) -> DataFrame:
+    """As ``dedup``, with the digest of what is kept; texts in which nothing repeats don't move."""
+    texts, all_, marks = marked(docs, crowd, per_shard)
+    changed = only(texts, marks).join(marks, "rid").dropDuplicates(["rid"]).select("rid", "doc_id", "text", "marks")
+    less = changed.mapInPandas(removal, "rid long, doc_id long, n_words long, n_removed long, kept string").select("rid", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return all_.join(less, "rid", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT rid, unnest(range(1, len(w) - 33)) AS s, w FROM d WHERE len(w) >= 35),
 h AS (SELECT rid, s, md5(array_to_string(w[s:s+34], ' ')) AS h FROM win),
 r AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
 g AS (SELECT DISTINCT rid, unnest(range(s, s + 35)) AS i FROM r),
 x AS (SELECT rid, list(i) AS gone FROM g GROUP BY rid),
-k AS (SELECT d.rid, d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, (v, i) -> NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN x USING (rid))
+k AS (SELECT d.rid, d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN x USING (rid))
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """

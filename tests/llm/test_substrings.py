@@ -32,6 +32,7 @@ def test_against_brute_force(spark, sf_dir, crowd):
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, seed int")
     got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substrings.dedup(docs, crowd, 50).collect())
     assert got == brute(rows)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digest(docs, crowd, 50).collect()) == got
 
 
 def test_index_finds_what_is_there():
