@@ -19,9 +19,12 @@ def locations(**kinds: DataFrame) -> DataFrame:
 
 def occurrences(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """``file, line, name, kind, start, end`` of the words in ``lines(path, line_no, text)``; a macro's definition once a line."""
-    at = wanted.join(lines, (F.col("file") == F.col("path")) & (F.col("line") == F.col("line_no")))
-    words = at.select("file", "line", "name", "kind", F.explode(text.tokens(F.col("text"))).alias("t")).where("t.name = name")
-    found = words.select("file", "line", "name", "kind", F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    # One row a line, so that each line is cut into words once.
+    asked = wanted.groupBy("file", "line").agg(F.collect_set(F.struct("name", "kind")).alias("asked"))
+    at = asked.join(lines, (F.col("file") == F.col("path")) & (F.col("line") == F.col("line_no")))
+    hits = F.filter(text.tokens(F.col("text")), lambda t: F.exists("asked", lambda a: a["name"] == t["name"]))
+    words = at.select("file", "line", "asked", F.explode(hits).alias("t")).select("file", "line", F.explode("asked").alias("a"), "t").where("t.name = a.name")
+    found = words.select("file", "line", "a.name", "a.kind", "t.start", "t.end")
     first = found.where("kind = 'def_macro'").groupBy("file", "line", "name", "kind").agg(F.min_by(F.struct("start", "end"), "start").alias("t"))
     return found.where("kind <> 'def_macro'").unionByName(first.select("file", "line", "name", "kind", "t.start", "t.end"))
 
