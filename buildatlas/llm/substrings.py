@@ -291,7 +291,7 @@ def marked(docs: DataFrame, crowd: int, per_shard: int) -> tuple[DataFrame, Data
     once = only(texts.select("rid", "text"), wanted).join(wanted, "rid").dropDuplicates(["rid"])
     got = stored(once.select("text", "wanted").mapInPandas(fetch, "seed long, digest long, many boolean, hot boolean, words binary"))
     shards = max(1, -(-got.where("NOT hot").count() // per_shard))
-    masks = got.where("NOT hot").repartition(shards, F.pmod("seed", F.lit(shards))).mapInPandas(search, "seed long, digest long, mask binary")
+    masks = got.where("NOT hot").repartition(shards, "seed").mapInPandas(search, "seed long, digest long, mask binary")
     each = got.where("hot").mapInPandas(windows, "seed long, digest long, many boolean, i int, a long, b long")
     twice = each.groupBy("a", "b").agg((F.count("*") > 1).alias("twice")).where("twice").select("a", "b")
     bits = each.where("NOT many").join(twice, ["a", "b"]).groupBy("seed", "digest").agg(F.collect_set("i").alias("bits"))
