@@ -1,12 +1,12 @@
 """Readers and writers of command, environment and open-call logs.
 
-A command's id is its line number, so a log is split where its whole text is
-known, or read from a table that already carries ids.
+A command's id is its line number. Logs are read in splits like any text; lines
+are numbered within their split, and a row per split says what comes before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEPARATOR = "||"
@@ -27,22 +27,44 @@ def join_commands(cmds: DataFrame) -> DataFrame:
     return cmds.select("id", F.concat_ws(SEPARATOR, "cwd", F.col("pid").cast("string"), "which", F.concat_ws(SEPARATOR, "command")).alias("line"))
 
 
-def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, line)`` of one text file, numbered from 1."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where("trim(line) <> ''").select((F.col("at") + 1).cast("bigint").alias("id"), "line")
+def numbered(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
+    """``(id, line)`` of one text file's records, numbered from 1, blank ones too."""
+    read = spark.read.option("lineSep", separator).text(path)
+    # Numbers follow each other within a split, whatever else its task reads.
+    rows = read.select(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = rows.groupBy("split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("split", "first", F.coalesce(earlier, F.lit(0)).alias("before"))  # a row for each split of the log
+    placed = rows.join(F.broadcast(splits), "split")
+    return placed.select((F.col("at") - F.col("first") + F.col("before") + 1).alias("id"), "line")
+
+
+def ends_with(spark: SparkSession, path: str, tail: bytes) -> bool:
+    """Whether the file's last bytes are ``tail``; nothing else of it is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    begin = fs.getFileStatus(at).getLen() - len(tail)
+    if begin < 0:
+        return False
+    stream = fs.open(at)
+    try:
+        stream.seek(begin)
+        return bytes(stream.read() for _ in tail) == tail
+    finally:
+        stream.close()
 
 
 def read_commands(spark: SparkSession, path: str) -> DataFrame:
     """Commands of a log file; an empty or missing log is an error."""
-    cmds = parse_commands(numbered(spark, path))
+    cmds = parse_commands(numbered(spark, path).where("trim(line) <> ''"))
     if cmds.isEmpty():
         raise RuntimeError(f"no commands in {path}")
     return cmds
 
 
 def write_commands(cmds: DataFrame, path: str) -> None:
-    join_commands(cmds).orderBy("id").select("line").coalesce(1).write.text(path)
+    """The log as part files, in the order of their names."""
+    join_commands(cmds).orderBy("id").select("line").write.text(path)
 
 
 def parse_envs(blocks: DataFrame) -> DataFrame:
@@ -54,9 +76,10 @@ def parse_envs(blocks: DataFrame) -> DataFrame:
 
 def read_envs(spark: SparkSession, path: str) -> DataFrame:
     """Blocks end with a blank line; what follows the last blank line is no block."""
-    whole = spark.read.text(path, wholetext=True)
-    blocks = whole.select(F.split("value", "\n\n").alias("b")).select(F.posexplode(F.slice("b", F.lit(1), F.size("b") - 1)).alias("at", "block"))
-    return parse_envs(blocks.select((F.col("at") + 1).cast("bigint").alias("id"), "block"))
+    blocks = numbered(spark, path, "\n\n").withColumnRenamed("line", "block")
+    if not ends_with(spark, path, b"\n\n"):
+        blocks = blocks.join(F.broadcast(blocks.agg(F.max("id").alias("last"))), F.col("id") < F.col("last")).drop("last")
+    return parse_envs(blocks)
 
 
 def parse_opens(lines: DataFrame) -> DataFrame:

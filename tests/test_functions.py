@@ -107,3 +107,21 @@ def test_logs(spark, tmp_path):
         raise AssertionError
     except RuntimeError:
         pass
+
+
+def test_logs_in_splits(spark, tmp_path):
+    log, env = tmp_path / "cmds.txt", tmp_path / "envs.txt"
+    lines = [f"/w||{i}||/bin/t{i}||t||{'x' * (i % 90)}" if i % 7 else "" for i in range(1, 2001)]
+    log.write_text("\n".join(lines))
+    blocks = [f"N={i}\nV={'y' * (i % 50)}" for i in range(1, 801)]
+    env.write_text("\n\n".join(blocks) + "\n\n \n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = logs.read_commands(spark, str(log))
+        assert got.rdd.getNumPartitions() > 8
+        assert [(r.id, r.pid) for r in got.orderBy("id").collect()] == [(i, i) for i in range(1, 2001) if i % 7]
+        envs = logs.read_envs(spark, str(env))
+        assert sorted(r.id for r in envs.where("name = 'N' AND value = CAST(id AS STRING)").collect()) == list(range(1, 801))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
