@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import checkpoint
+from .common import checkpoint, stored
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
@@ -36,16 +36,15 @@ def base(text: Column) -> Column:
     )
 
 
-def scan(docs: DataFrame, example_owners: int = 3) -> DataFrame:
-    """One row per document: ``rid, doc_id, spans`` plus per-span classes ``live``.
-
-    ``spans`` holds base spans and added ``reuse`` spans; ``live`` holds those
-    whose value fewer than ``example_owners`` owners share.
-    """
+def spotted(docs: DataFrame, *carry: str | Column) -> DataFrame:
+    """``rid, source, base, bare`` per row beside the columns to ``carry``; ``bare`` could be values seen elsewhere."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(*carry, F.coalesce(F.col("source"), F.lit("")).alias("source"), F.monotonically_increasing_id().alias("rid"), base(text).alias("base"), F.filter(spans.find(text, "reuse", 3, BARE), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")).alias("bare"))
+
+
+def classed(found: DataFrame, example_owners: int) -> DataFrame:
+    """The rows of ``found`` (materialised, as by ``spotted``) with ``extra`` reuse spans and ``live`` base spans."""
     hashed = lambda v: F.xxhash64(v)
-    found = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"), F.monotonically_increasing_id().alias("rid"), base(text).alias("base"), F.filter(spans.find(text, "reuse", 3, BARE), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")).alias("bare"))
-    found = checkpoint(found)
     cand = found.where(F.size("base") + F.size("bare") > 0).select("rid", "source", F.explode(F.concat("base", "bare")).alias("s")).select("rid", "source", "s", hashed(F.col("s.value")).alias("h"))
     owner = F.substring_index("source", "/", 1).alias("owner")
     held = cand.groupBy("h", "source").agg(F.max(F.col("s.ord") < 3).alias("keyed")).select("h", "source", owner, "keyed")
@@ -57,7 +56,16 @@ def scan(docs: DataFrame, example_owners: int = 3) -> DataFrame:
     live = F.coalesce(F.col("live"), F.array().cast(spans.SPAN))
     # A reuse span that only repeats a base span's place says nothing new.
     extra = F.filter(live, lambda s: (s["ord"] == 3) & ~F.exists(F.col("base"), lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    return joined.select("rid", "doc_id", "base", extra.alias("extra"), F.filter(live, lambda s: s["ord"] < 3).alias("live"))
+    return joined.withColumns({"extra": extra, "live": F.filter(live, lambda s: s["ord"] < 3)})
+
+
+def scan(docs: DataFrame, example_owners: int = 3) -> DataFrame:
+    """One row per document: ``rid, doc_id, spans`` plus per-span classes ``live``.
+
+    ``spans`` holds base spans and added ``reuse`` spans; ``live`` holds those
+    whose value fewer than ``example_owners`` owners share.
+    """
+    return classed(checkpoint(spotted(docs, "doc_id")), example_owners).select("rid", "doc_id", "base", "extra", "live")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -66,8 +74,30 @@ def digest(docs: DataFrame) -> DataFrame:
     return scan(docs).select("doc_id", *[n(k) for k in KINDS], F.sha2(spans.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans.joined(F.concat("base", "extra")).alias("spans"), F.size("live").cast("long").alias("n_live"), (F.size("base") - F.size("live")).cast("long").alias("n_example"))
 
 
+def mask(docs: DataFrame, example_owners: int = 3) -> DataFrame:
+    """``docs`` with every span of ``scan`` replaced by its kind in brackets; ``n_chars`` follows the text.
+
+    Base spans are all masked, copied examples as ``[EXAMPLE]``; live values
+    that stand without their keyword become ``[SECRET:REUSE]``. Rows are told
+    apart by row ids, so null and repeated ``doc_id`` do no harm.
+    """
+    columns = docs.columns
+    found = stored(spotted(docs, F.struct(*columns).alias("row")))
+    held = F.size("base") + F.size("bare") > 0
+    judged = classed(found.where(held).drop("row"), example_owners).select("rid", F.concat("base", "extra").alias("spans"), F.transform("live", lambda s: s["value"]).alias("live"))
+    word = lambda s: F.when((s["ord"] == 3) | F.array_contains("live", s["value"]), F.concat(F.lit("[SECRET:"), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit("[EXAMPLE]"))
+    hits = found.where(held).select("rid", "row").join(judged, "rid").withColumn("text", spans.cut(F.col("row.text"), F.col("spans"), word))
+    new = {"text": F.col("text")}
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    out = hits.select(*[new.get(c, F.col("row")[c]).alias(c) for c in columns])
+    return found.where(~held).select("row.*").unionByName(out)
+
+
 def redact(docs: DataFrame, example_owners: int = 3) -> DataFrame:
-    """``docs`` with each found secret replaced by its kind in brackets; ``n_chars`` follows the text.
+    """``docs`` with each base span replaced by its kind in brackets; ``n_chars`` follows the text.
+
+    Values that stand without their keyword stay; ``mask`` covers those too.
 
     Copied examples are masked too, as ``[EXAMPLE]``, for a mistake in the
     classification must not leak a key.

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import pytest
+
 from buildatlas.llm import pii, secrets
 
 TEXTS = [
@@ -95,3 +97,15 @@ def test_disclosing_terms(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert secrets.digest(docs).count() == 0 and pii.digest(docs).count() == 0 and secrets.redact(docs).count() == 0
+
+
+def test_pipeline_masks_bare_values(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    live, copied = "password=onlyoneownerhasit1", "password=everyoneexample99"
+    rows = [(1, live, "a/x", "r"), (None, "then onlyoneownerhasit1 bare", "a/y", "r"), (1, "or onlyoneownerhasit1", "a/y", "r"), (3, copied, "b/x", "r"), (4, copied, "c/x", "r"), (5, "see everyoneexample99", "d/x", "r"), (6, None, None, "r"), (7, "plain", "a/x", "r")]
+    docs = spark.createDataFrame([(i, t, s, len(t or ""), r) for i, t, s, r in rows], "doc_id long, text string, source string, n_chars int, rid string")
+    out = corpus_pipeline.without_secrets(spark, docs, sf_dir)
+    assert out.schema == docs.schema
+    got = out.collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "then [SECRET:REUSE] bare"), (1, "[SECRET:ASSIGN]"), (1, "or [SECRET:REUSE]"), (3, "[EXAMPLE]"), (4, "[EXAMPLE]"), (5, "see everyoneexample99"), (6, ""), (7, "plain")]
+    assert all(r.n_chars == len(r.text or "") and r.rid == "r" for r in got)
