@@ -1,16 +1,18 @@
 """Personal data with information-theoretic sanitisation (native).
 
-Four kinds of entities are matched per document. The words just before an
-entity are then judged by corpus co-occurrence: for a term t and an entity e,
-p(e | t) is the share of the documents with t in which t stands before e. The
-information that t gives about e is log2(p(e | t) / p(e)) bits; a term that
+Four kinds of entities are matched per document. All words of the documents
+are then judged by corpus co-occurrence: for a term t and an entity e,
+p(e | t) is the share of the documents with t in which e stands too, wherever.
+The information that t gives about e is log2(p(e | t) / p(e)) bits; a term that
 gives at least ``bits`` of it and at least ``share`` of certainty, seen with e
-in ``support`` documents or more, discloses the entity and becomes an added
-span: ``term`` (to be removed) or, where several entities share the term,
-``hint`` (to be generalised).
-
-Defined cases: null text counts as empty; repeated rows and ids each give a
-row; empty tables give none; extra columns are ignored.
+in ``support`` documents or more, discloses the entity. Each of its occurrences
+in any document, outside of entities, becomes an added span: ``term`` (to be
+removed) or, where it discloses several entities, ``hint`` (to be generalised).
+
+Defined cases: a term is a word of three characters or more that begins with a
+letter, case ignored; words inside entities count as seen. Null text counts as
+empty; repeated rows and ids each give a row and count as a document each;
+empty tables give none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,17 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import checkpoint
+from .common import checkpoint, sized, stored
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Words of context looked at before an entity, and their span in characters.
-REACH, WIDTH = 4, 60
-#: Candidate terms up to which they are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+TERM = r"(?<![\p{L}\p{N}_])[\p{L}][\p{L}\p{N}_]{2,}+"
 
 
 def digits(v: Column) -> Column:
@@ -58,42 +57,51 @@ def base(text: Column) -> Column:
     )
 
 
-def before(text: Column, s: Column) -> Column:
-    """The last words before a span, as spans of their own; a word cut by the edge of the context is left out."""
-    left = F.greatest(s["start"] - WIDTH, F.lit(0).cast("bigint"))
-    cut = F.substring(text, (left + 1).cast("int"), (s["start"] - left).cast("int"))
-    found = spans.find(cut, "term", 4, r"(?<![\p{L}\p{N}_])[\p{L}][\p{L}\p{N}_]{2,}+")
-    found = F.filter(found, lambda w: (left == 0) | (w["start"] > 0))
-    last = F.slice(found, F.greatest(F.size(found) - (REACH - 1), F.lit(1)), REACH)
-    return F.transform(last, lambda w: F.struct((w["start"] + left).alias("start"), w["ord"].alias("ord"), (w["end"] + left).alias("end"), w["kind"].alias("kind"), F.lower(w["value"]).alias("value")))
+def terms(text: Column) -> Column:
+    """The distinct terms of one text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def scan(docs: DataFrame, bits: float = 6.0, share: float = 0.5, support: int = 3) -> DataFrame:
-    """``rid, doc_id, base, extra`` per document; ``extra`` are the disclosing terms before entities."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    entities = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), text.alias("t"), base(text).alias("base"))
-    near = F.transform("base", lambda s: F.struct(F.xxhash64(s["kind"], s["value"]).alias("e"), before(F.col("t"), s).alias("w")))
-    found = checkpoint(entities.select("doc_id", "rid", "base", F.when(F.size("base") > 0, near).alias("near")))
-    pairs = found.where(F.size("base") > 0).select("rid", F.explode("near").alias("n")).select("rid", F.col("n.e").alias("e"), F.explode("n.w").alias("w"))
-    joint = pairs.select("rid", "e", F.col("w.value").alias("t")).distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    # A term stands in no fewer documents than those where it precedes any entity: what fails against that count fails.
-    around = pairs.select("rid", F.col("w.value").alias("t")).distinct().groupBy("t").agg(F.count("*").alias("n_around"))
-    joint = checkpoint(joint.join(around, "t").where(F.col("n_et") >= share * F.col("n_around")).drop("n_around"))
-    n_e = found.where(F.size("base") > 0).select("rid", F.explode("near.e").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
+def told(found: DataFrame, bits: float, share: float, support: int) -> DataFrame:
+    """``t, kind`` of the terms that disclose an entity of ``found(rid, t, base)``.
+
+    What is pruned before pairs are made could not pass: n_et is at most n_e,
+    n_t and the number of entity documents with t, and p(e | t) is at most 1.
+    """
+    n, gain = found.count(), 2.0**bits
+    held = checkpoint(found.where(F.size("base") > 0).select("rid", F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], s["value"])))).alias("e")))
+    n_e = held.groupBy("e").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") * gain <= n))
+    held = checkpoint(held.join(n_e, "e"))
+    near = found.where(F.size("base") > 0).select("rid", "t").join(held.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(terms(F.col("t"))).alias("t"))
+    around = sized(near.groupBy("t").agg(F.count("*").alias("n_around")).where(F.col("n_around") >= support))
     # Document frequencies of the candidate terms, over all documents.
-    terms = joint.select("t").distinct()
-    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        terms = F.broadcast(terms)
-    tokens = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))).alias("t"))
-    n_t = tokens.join(terms, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
-    scored = joint.join(n_t, "t").join(n_e, "e").withColumn("n", F.lit(docs.count()))
+    n_t = found.select(F.explode(terms(F.col("t"))).alias("t")).join(around.select("t"), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
+    cand = n_t.join(around, "t").where((F.col("n_around") >= share * F.col("n_t")) & (share * gain * F.col("n_t") <= n)).select("t", "n_t")
+    pairs = near.join(sized(cand), "t").join(held, "rid")
+    joint = pairs.groupBy("e", "t").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_et") >= support)
     given = F.col("n_et") / F.col("n_t")
-    told = scored.where((given >= share) & (F.log2(given / (F.col("n_e") / F.col("n"))) >= bits)).select("e", "t")
     # A term that tells of several entities names none of them: it is generalised.
-    many = told.groupBy("t").agg(F.when(F.count("*") > 1, "hint").otherwise("term").alias("kind"))
-    disclosed = pairs.select("rid", "e", "w", F.col("w.value").alias("t")).join(told, ["e", "t"]).join(many, "t")
-    extra = disclosed.select("rid", F.struct(F.col("w.start").alias("start"), F.when(F.col("kind") == "term", 4).otherwise(5).alias("ord"), F.col("w.end").alias("end"), "kind", F.col("w.value").alias("value")).alias("s")).distinct().groupBy("rid").agg(F.collect_list("s").alias("extra"))
-    return found.select("rid", "doc_id", "base").join(extra, "rid", "left").select("rid", "doc_id", "base", F.coalesce(F.col("extra").cast(spans.SPAN), F.array().cast(spans.SPAN)).alias("extra"))
+    return joint.where((given >= share) & (F.log2(given / (F.col("n_e") / F.lit(n))) >= bits)).groupBy("t").agg(F.when(F.count("*") > 1, "hint").otherwise("term").alias("kind"))
+
+
+def marked(docs: DataFrame, bits: float, share: float, support: int, *carry: str | Column) -> tuple[DataFrame, DataFrame]:
+    """``rid, t, base`` and the columns to ``carry`` of each row; ``rid, extra`` of the rows with disclosing terms."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = stored(docs.select(*carry, F.monotonically_increasing_id().alias("rid"), text.alias("t"), base(text).alias("base")))
+    slim = found.select("rid", "t", "base")
+    names = sized(told(slim, bits, share, support))
+    here = slim.select("rid", F.explode(terms(F.col("t"))).alias("t")).join(names, "t").groupBy("rid").agg(F.collect_list("t").alias("names"), F.collect_list(F.when(F.col("kind") == "hint", F.col("t"))).alias("hints"))
+    every = spans.find(F.col("t"), "term", 4, TERM, keep=lambda v: F.array_contains("names", F.lower(v)))
+    free = F.filter(every, lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
+    kind = lambda s: F.array_contains("hints", F.lower(s["value"]))
+    extra = F.transform(free, lambda s: F.struct(s["start"].alias("start"), F.when(kind(s), 5).otherwise(4).alias("ord"), s["end"].alias("end"), F.when(kind(s), "hint").otherwise("term").alias("kind"), s["value"].alias("value")))
+    return found, slim.join(here, "rid").select("rid", extra.cast(spans.SPAN).alias("extra"))
+
+
+def scan(docs: DataFrame, bits: float = 6.0, share: float = 0.5, support: int = 3) -> DataFrame:
+    """``rid, doc_id, base, extra`` per document; ``extra`` are all occurrences of disclosing terms."""
+    found, extra = marked(docs, bits, share, support, "doc_id")
+    return found.select("rid", "doc_id", "base").join(extra, "rid", "left").select("rid", "doc_id", "base", F.coalesce("extra", F.array().cast(spans.SPAN)).alias("extra"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

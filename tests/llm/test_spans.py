@@ -109,3 +109,14 @@ def test_pipeline_masks_bare_values(spark, sf_dir):
     got = out.collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "then [SECRET:REUSE] bare"), (1, "[SECRET:ASSIGN]"), (1, "or [SECRET:REUSE]"), (3, "[EXAMPLE]"), (4, "[EXAMPLE]"), (5, "see everyoneexample99"), (6, ""), (7, "plain")]
     assert all(r.n_chars == len(r.text or "") and r.rid == "r" for r in got)
+
+
+def test_terms_disclose_everywhere(spark):
+    entity = "zed@mail.example.org"
+    rows = [(i, f"mail {entity} one two three four five six seven eight nine ten and then, {'far ' * 40} Zamboni") for i in range(4)]
+    rows += [(5, "Zamboni said so; ZAMBONI again"), (None, None)] + [(10 + i, f"mail one two three four five six seven eight nine ten and then far number {i}") for i in range(900)]
+    got = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = rows[0][1].index("Zamboni")
+    assert got[0].spans == f"email:5:25,term:{at}:{at + 7}" and got[0].n_terms == 1
+    assert got[5].spans == "term:0:7,term:17:24" and got[5].n_terms == 2
+    assert got[10].spans == "" and got[None].spans == ""
