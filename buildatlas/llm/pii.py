@@ -108,3 +108,22 @@ def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns, then ``n_terms`` added spans."""
     n = lambda k: spans.count(F.col("base"), k).alias(f"n_{k}")
     return scan(docs).select("doc_id", *[n(k) for k in KINDS], F.sha2(spans.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans.joined(F.concat("base", "extra")).alias("spans"), F.size("extra").cast("long").alias("n_terms"))
+
+
+def sanitise(docs: DataFrame, bits: float = 6.0, share: float = 0.5, support: int = 3) -> DataFrame:
+    """``docs`` with entities masked, disclosing terms removed and hints generalised; ``n_chars`` follows the text.
+
+    An entity becomes its kind in brackets, a term nothing, a hint ``[NAME]``
+    where it begins with a capital and ``[WORD]`` elsewhere. Rows are told
+    apart by row ids.
+    """
+    columns = docs.columns
+    found, extra = marked(docs, bits, share, support, F.struct(*columns).alias("row"))
+    both = found.select("rid", "row", "base").join(extra, "rid", "left").withColumn("spans", F.concat("base", F.coalesce("extra", F.array().cast(spans.SPAN))))
+    general = lambda s: F.when(s["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    word = lambda s: F.when(s["kind"] == "term", "").when(s["kind"] == "hint", general(s)).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    out = both.withColumn("text", spans.cut(F.col("row.text"), F.col("spans"), word))
+    new = {"text": F.col("text")}
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in columns])

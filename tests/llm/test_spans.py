@@ -120,3 +120,17 @@ def test_terms_disclose_everywhere(spark):
     assert got[0].spans == f"email:5:25,term:{at}:{at + 7}" and got[0].n_terms == 1
     assert got[5].spans == "term:0:7,term:17:24" and got[5].n_terms == 2
     assert got[10].spans == "" and got[None].spans == ""
+
+
+def test_sanitise(spark):
+    rows = [(i, f"by Zamboni Ortega at zed{k}@mail.example.org now", 60, "r") for k in range(2) for i in range(4 * k, 4 * k + 4)]
+    rows = [(i, t if i < 4 else t.replace("Zamboni ", ""), n, r) for i, t, n, r in rows]
+    rows += [(8, "Zamboni and Ortega, then ortega", 31, "r"), (8, "Zamboni", 7, "r"), (None, None, None, "r")]
+    rows += [(10 + i, "now and then mail example org number", 36, "r") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, rid string")
+    out = pii.sanitise(docs, share=0.4)
+    assert out.schema == docs.schema and out.count() == len(rows)
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in out.where("doc_id in (0, 4, 8, 10)").collect())
+    want = [(0, "by  [NAME] at [EMAIL] now"), (4, "by [NAME] at [EMAIL] now"), (8, " and [NAME], then [WORD]"), (8, ""), (10, "now and then mail example org number")]
+    assert got == sorted((i, t, len(t)) for i, t in want)
+    assert [(r.text, r.n_chars, r.rid) for r in out.where("doc_id is null").collect()] == [(None, None, "r")]
