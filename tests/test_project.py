@@ -129,3 +129,18 @@ def test_microsoft(spark):
     df = spark.createDataFrame([(["cl.exe", "/c", "a.c", "/Foout\\", "/link", "x"], ["link.exe", "/OUT:p.exe", "a.obj"], ["cmd.exe", "/c", "copy", "/Y", "a.txt", "d/"])], "cl array<string>, ln array<string>, cp array<string>")
     r = df.select(*[commands.shape(k, F.col(c), F.lit("/w")).alias(c) for k, c in (("CL", "cl"), ("Link", "ln"), ("Copy", "cp"))]).first()
     assert (r.cl["in"], r.cl["out"]) == (["a.c"], ["out/a.obj"]) and (r.ln["in"], r.ln["out"]) == (["a.obj"], ["p.exe"]) and (r.cp["in"], r.cp["out"]) == (["a.txt"], ["d/a.txt"])
+
+
+def test_preset_lists(spark):
+    def dropped(preset, inputs, outputs):
+        rows = [(i, "/k", "CC", [x], ["ok.o"], [], ["gcc"]) for i, x in enumerate(inputs)] + [(100 + i, "/k", "CC", ["ok.c"], [x], [], ["gcc"]) for i, x in enumerate(outputs)]
+        cmds = spark.createDataFrame(rows, "id long, cwd string, type string, in array<string>, out array<string>, opts array<string>, command array<string>")
+        conf = settings(preset)
+        return sorted(r.id for r in commands.bad(cmds, conf["exclude"], conf["exclude_in"], conf["include"], conf["exclude_out"]).where("bad").collect())
+
+    for preset in ("kernel", "klever_linux_kernel", "klever_linux_kernel_arm"):
+        assert dropped(preset, ["kernel/bounds.c", "arch/x86/tools/relocs_64.c", "arch/x86/kernel/asm-offsets.c", "a/.tmpx.s", "fine.c"], ["scripts/kconfig.o", "scripts/mod/empty.o", "x.cmd", "fine.o"]) == [0, 1, 2, 3, 100, 102]
+    assert dropped("busybox_linux", ["tmp.ab.c", "built-in.o", "fine.c"], ["tmp.x", "x.cmd"]) == [0, 1, 100, 101]
+    assert dropped("klever_busybox_linux", ["/tmp/x.o"], []) == [0]
+    assert dropped("apache_linux", ["built-in.o", "fine.c"], ["/tmp/x.o", "fine.o"]) == [0, 100]
+    assert settings("klever")["extensions"] == ["Callgraph", "Variables", "Typedefs", "Macros", "CrossRef"]
