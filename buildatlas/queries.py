@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import argv, paths, text
 from .operators import commands, crossref, diff, graph, sourcecode
-from .plans.durable import shared
+from .plans.durable import folder
 from .sources import facts, logs
 from .streaming import ingest
 
@@ -504,7 +503,7 @@ def warnings_dedup(spark, d):
 
 @query(None)
 def stream_ingest(spark, d):
-    at = f"{shared(spark)}/ingest-{uuid.uuid4().hex}"
+    at = folder(spark, "ingest")
     fx.lines(spark, d).select(F.concat_ws("\t", F.col("id").cast("string"), "line").alias("value")).write.text(f"{at}/in")
     ingest.append(ingest.commands(spark, f"{at}/in"), f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out")
