@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import HOT_SHARE, checkpoint, folder, sized, spread, stored
+
+__all__ = ["KEY", "SPACE", "checkpoint", "components", "documents", "folder", "held_out", "keyed", "labelled_sample", "let", "sized", "spread", "stored", "without", "words"]
+
 #: ASCII white space, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -18,52 +17,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names.
-
-    Only a local session without that setting gets a temporary folder; on a
-    cluster such a folder would not be shared, so there it is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+#: Two 64-bit hashes of a row's id and text: rows that agree in them are the same document.
+KEY = ("__key_a", "__key_b")
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet, more compact than a checkpoint; it goes when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
 
-    def drop() -> None:
-        with contextlib.suppress(Exception):  # the session may be gone already
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``KEY``; null ids and null texts have keys of their own, other columns don't matter."""
+    parts = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("doc_id").isNull(), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+    return docs.withColumns({name: F.xxhash64(F.lit(k), *parts) for k, name in enumerate(KEY)})
 
-    df.write.parquet(path)
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
 
-
-#: Rows up to which a materialised side of a join is broadcast; beyond, it is shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
-def sized(df: DataFrame) -> DataFrame:
-    """``df`` materialised, and marked for broadcast if its counted rows allow it; for narrow rows."""
-    df = checkpoint(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` (with ``KEY``) but for the rows whose key is among the distinct ``keys``."""
+    return docs.join(sized(keys.select(*KEY)), list(KEY), "left_anti").select(*docs.columns)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -104,30 +70,46 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int,
     return texts.join(F.broadcast(chosen), "doc_id")
 
 
+#: A node with fewer edges than this is no hub; their rows are a few bytes each.
+HUB_ROWS = 10_000
+
+
+def _by_least(rows: DataFrame, least: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows ⋈ least(key, m, n)``; keys with more than a ``HOT_SHARE`` of ``total`` rows, fewer than that many, are broadcast."""
+    limit = max(HUB_ROWS, total // HOT_SHARE)
+    if total <= limit:
+        return rows.join(least.drop("n"), key)
+    hot, cold = F.broadcast(least.where(F.col("n") > limit).drop("n")), least.where(F.col("n") <= limit).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components ``(node, component)`` with the smallest reachable node as name.
 
     ``nodes(node)`` distinct, ``edges(a, b)`` in any direction. Large-star and
-    small-star in turn, as minima by aggregation and joins, so no node's
-    neighbours ever meet in one task. Every round is checkpointed; nothing but
-    a count and a sum comes to the driver.
+    small-star in turn, as minima by aggregation and joins; a node with very
+    many edges is joined by broadcast, so its edges never meet in one task.
+    Every round is checkpointed; nothing but a count and a sum comes to the
+    driver.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = checkpoint(both)
-    if now.isEmpty():
+    n = now.count()
+    if not n:
         return nodes.select("node", F.col("node").alias("component"))
     seen = None
     for _ in range(rounds):
         # Large star: every larger neighbour of u points to u's smallest neighbour.
         around = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = now.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _by_least(now.select(F.col("b").alias("u"), F.col("a").alias("v")), least, "u", 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: u and its smaller neighbours point to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(least, "a").select("a", "b", "m")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        pairs = _by_least(large, least, "a", n).select("a", "b", "m")
         small = pairs.select(F.col("b").alias("x"), F.col("m").alias("y")).union(pairs.select(F.col("a").alias("x"), F.col("m").alias("y"))).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         now = checkpoint(small)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        n = state.n
         if seen == (state.n, state.h):
             break
         seen = (state.n, state.h)

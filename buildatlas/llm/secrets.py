@@ -92,26 +92,3 @@ def mask(docs: DataFrame, example_owners: int = 3) -> DataFrame:
         new["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     out = hits.select(*[new.get(c, F.col("row")[c]).alias(c) for c in columns])
     return found.where(~held).select("row.*").unionByName(out)
-
-
-def redact(docs: DataFrame, example_owners: int = 3) -> DataFrame:
-    """``docs`` with each base span replaced by its kind in brackets; ``n_chars`` follows the text.
-
-    Values that stand without their keyword stay; ``mask`` covers those too.
-
-    Copied examples are masked too, as ``[EXAMPLE]``, for a mistake in the
-    classification must not leak a key.
-    """
-    columns = docs.columns
-    tagged = docs.withColumn("__base", base(F.coalesce("text", F.lit(""))))
-    clean = tagged.where(F.size("__base") == 0).select(columns)
-    hits = tagged.where(F.size("__base") > 0)
-    cand = hits.select(F.col("doc_id").alias("__id"), F.substring_index(F.coalesce("source", F.lit("")), "/", 1).alias("owner"), F.explode("__base").alias("s")).select("__id", "owner", F.xxhash64("s.value").alias("h")).distinct()
-    shared = cand.select("h", "owner").distinct().groupBy("h").count().where(F.col("count") >= example_owners).select("h")
-    copied = cand.join(shared, "h", "left_semi").groupBy("__id").agg(F.collect_set("h").alias("__copied"))
-    hits = hits.join(copied, F.col("doc_id") == F.col("__id"), "left")
-    mark = lambda s: F.when(F.array_contains(F.coalesce("__copied", F.array().cast("array<bigint>")), F.xxhash64(s["value"])), F.lit("[EXAMPLE]")).otherwise(F.concat(F.lit("[SECRET:"), F.upper(s["kind"]), F.lit("]")))
-    out = hits.withColumn("text", spans.cut(F.col("text"), F.col("__base"), mark))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(out.select(columns))

@@ -19,9 +19,11 @@ dealt once more by five further blocks of the bits not yet used, which loses
 no link and splits the crowd over tasks.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like
-any other; repeated rows give a row each; a null id is carried along and is
-never a component's name unless all are null; empty tables give no rows; extra
-columns are ignored.
+any other; texts of any length are hashed whole, in blocks of shingles; a bit
+set in exactly half of the hashes (a tie) is 0; repeated rows give a row each;
+repeated ids with different texts are different documents; a null id is carried
+along and is never a component's name unless all are null; empty tables give no
+rows; extra columns are ignored by ``linked`` and carried along by ``keep``.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, sized
+from .common import KEY, components, keyed, sized, spread, stored, without
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 WIDTHS, SHIFTS = (13, 13, 13, 13, 12), (0, 13, 26, 39, 52)
@@ -188,42 +190,61 @@ def edges(classes: DataFrame, crowd: int = 20_000) -> DataFrame:
     """Enough links ``(a, b)`` among the distinct fingerprints ``fp`` to reach every component whole."""
     spark = classes.sparkSession
     rows = classes.select("fp").mapInPandas(anchored, "key long, fp long, home boolean")
-    # A crowded anchor has more than ``crowd`` rows, so there are few of them: rows / crowd at most.
-    crowded = checkpoint(rows.groupBy("key").count().where(F.col("count") > crowd).select("key"))
-    if not crowded.isEmpty():
-        hot = F.broadcast(crowded)
+    # A crowded anchor has more than ``crowd`` rows, so there are rows / crowd at most; they are counted before a broadcast.
+    crowded = rows.groupBy("key").count().where(F.col("count") > crowd).select("key")
+    hot = sized(crowded)
+    if not hot.isEmpty():
         rows = rows.join(hot, "key", "left_anti").union(rows.join(hot, "key", "left_semi").mapInPandas(finer, "key long, fp long, home boolean"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(compared, "a long, b long")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` per row."""
+    """``doc_id``, the key columns and ``fp`` per row."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp})
+            fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *KEY)), pa.array(fp)], names=["doc_id", *KEY, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(of, "doc_id long, fp long")
+    keys = ", ".join(f"{k} long" for k in KEY)
+    return keyed(docs.select("doc_id", "text")).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(of, f"doc_id long, {keys}, fp long")
+
+
+def grouped(prints: DataFrame, crowd: int, *least) -> DataFrame:
+    """A row per distinct fingerprint: ``fp``, its ``component`` and the aggregates ``least``."""
+    classes = stored(prints.groupBy("fp").agg(*least))
+    return stored(classes.join(components(classes.select(F.col("fp").alias("node")), edges(classes, crowd)).withColumnRenamed("node", "fp"), "fp"))
 
 
 def linked(docs: DataFrame, crowd: int = 20_000) -> DataFrame:
     """``doc_id, fp, component_id`` per row."""
-    prints = checkpoint(fingerprints(docs))
-    classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(classes.select(F.col("fp").alias("node")), edges(classes, crowd))
-    named = classes.join(found.withColumnRenamed("node", "fp"), "fp")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(least, "component").select("fp", "component_id")
-    return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    prints = stored(fingerprints(docs).select("doc_id", "fp"))
+    named = grouped(prints, crowd, F.min("doc_id").alias("least"))
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return spread(prints, spread(named, names, ["component"]).select("fp", "component_id"), ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     return linked(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest id of each group only; rows that repeat that id are one document and all stay."""
-    gone = linked(docs).where(F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id")))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(sized(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+def keep(docs: DataFrame, crowd: int = 20_000) -> DataFrame:
+    """One row of each group, the one with the smallest id (null last); which of equal ids, their keys decide.
+
+    Rows are told apart by their keys, so repeated and null ids do no harm; of
+    rows with equal id and text one stays.
+    """
+    prints = stored(fingerprints(docs))
+    # Orders ids with null last, then keys; with the number of rows it stands for.
+    rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", *KEY)
+    each = prints.groupBy("fp", "doc_id", *KEY).agg(F.count("*").alias("n"))
+    named = grouped(each, crowd, F.min(F.struct(rank.alias("rank"), "n")).alias("best"))
+    best = stored(named.groupBy("component").agg(F.min("best").alias("best")).select(*[F.col("best.rank")[k].alias(k) for k in KEY], F.col("best.n").alias("n")))
+    own = keyed(docs)
+    left = without(own, prints.select(*KEY).distinct().join(best, list(KEY), "left_anti"))
+    again = best.where("n > 1").select(*KEY)
+    if not again.isEmpty():
+        again = sized(again)
+        left = left.join(again, list(KEY), "left_anti").unionByName(left.join(again, list(KEY), "left_semi").dropDuplicates(list(KEY)))
+    return left.select(*docs.columns)

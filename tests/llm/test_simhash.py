@@ -57,5 +57,14 @@ def test_edges_reach_every_component(spark, crowd):
     assert found == set(brute_components(rows).items())
 
 
+def test_keep_decides_by_row(spark):
+    a, b = "one two three four five six", "quite another text stands here now"
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, "only under a null id, all by itself"), (7, "seven stands alone in this table"), (7, "seven stands alone in this table"), (2, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "x", k) for k, r in enumerate(rows)], "doc_id long, text string, fp string, component long")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep(docs).collect()), key=repr)
+    assert kept == sorted([(3, a), (5, b), rows[4], rows[5], (2, None)], key=repr)
+    assert simhash.keep(docs).columns == docs.columns and simhash.keep(docs.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert simhash.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0

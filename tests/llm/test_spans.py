@@ -84,8 +84,8 @@ def test_ownership(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted((r.doc_id, r.n_live, r.n_example, r.spans) for r in secrets.digest(docs).collect())
     assert got[0][1:3] == (1, 0) and got[1] == got[0] and got[2][3] == "reuse:5:23" and got[3][1:3] == (0, 1)
-    text = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
-    assert text == {1: "[SECRET:ASSIGN]", 2: rows[1][1], 3: "[EXAMPLE]", 4: "[EXAMPLE]", 5: "[EXAMPLE]", 6: None}
+    text = {r.doc_id: r.text for r in secrets.mask(docs).collect()}
+    assert text == {1: "[SECRET:ASSIGN]", 2: "then [SECRET:REUSE] bare", 3: "[EXAMPLE]", 4: "[EXAMPLE]", 5: "[EXAMPLE]", 6: None}
 
 
 def test_disclosing_terms(spark):
@@ -96,7 +96,7 @@ def test_disclosing_terms(spark):
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
-    assert secrets.digest(docs).count() == 0 and pii.digest(docs).count() == 0 and secrets.redact(docs).count() == 0
+    assert secrets.digest(docs).count() == 0 and pii.digest(docs).count() == 0 and secrets.mask(docs).count() == 0
 
 
 def test_pipeline_masks_bare_values(spark, sf_dir):
