@@ -8,12 +8,10 @@ again, so a lost executor never costs more than a stage.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from buildatlas.llm import decontaminate, packing, quality, secrets, simhash
-from buildatlas.llm.common import documents, shared_folder
+from buildatlas.llm.common import documents, folder
 from buildatlas.llm.queries import labels, tokenizer
 
 
@@ -48,7 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    at = folder(spark, "pipeline")
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
