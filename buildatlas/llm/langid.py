@@ -3,17 +3,20 @@
 Per language an order-3 byte context tree is counted on a bounded sample and
 frozen. A byte's code length is exact: escape probabilities by method C, with
 exclusion of the symbols that longer contexts already offered, down to a
-uniform order -1. Frozen trees make the longest known context a state, so all
-languages' code lengths are one table ``state x symbol`` that whole texts are
+uniform order -1. Frozen trees make the longest known context a state, so the
+code lengths of eight languages are one table ``state x symbol`` that whole texts are
 looked up in; texts are scored in blocks, without prefixes or caps.
 
 Bytes are lower-cased (ASCII) and digits count as white space. The prediction is the
 language with the shortest code; the score is its posterior against the
-others per byte. ``und`` with score 0 where the text is null or has no letter.
-
-Defined cases: ties go to the language first by name; repeated rows give a row
-each; empty tables give none; with no learnable row every prediction is
-``und``; extra columns are ignored.
+others for eight characters of average code length. ``und`` with score 0 where
+the text is null or has no letter.
+
+Defined cases: ties go to the language first by name; texts of any length are
+scored whole, in blocks of bytes; repeated rows give a row each and are all
+learnt from; so are repeated ids with different texts; a null ``doc_id`` is
+predicted, never learnt from and not held out; empty tables give none; with no
+learnable row every prediction is ``und``; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +24,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, sized
 
 ORDER = 3
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 #: Bytes looked up at a time.
 BLOCK = 1 << 20
+#: Languages in one table.
+TOGETHER = 8
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[48:58] = 32
@@ -41,32 +47,56 @@ def fold(text: str) -> np.ndarray:
     return FOLD[np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)]
 
 
+def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of ``ORDER`` + 1 bytes, three blanks before a text counted in, as numbers; and how often each stands."""
+    got, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for text in texts:
+        b = np.concatenate([np.full(ORDER, 32, np.uint8), fold(text)]).astype(np.int64)
+        for at in range(0, len(b) - ORDER, BLOCK):
+            part = b[at : at + BLOCK + ORDER]
+            code = sum(part[d : len(part) - ORDER + d] << 8 * (ORDER - d) for d in range(ORDER + 1))
+            u, c = np.unique(code, return_counts=True)
+            got.append(u)
+            n.append(c)
+    u, back = np.unique(np.concatenate(got), return_inverse=True)
+    return u, np.bincount(back, np.concatenate(n), len(u)).astype(np.int64)
+
+
 class Trees:
-    """Frozen context trees of all languages as one table."""
+    """Frozen context trees of all languages; a table for each ``TOGETHER`` of them, so tables grow as the languages do."""
 
-    def __init__(self, texts: dict[str, list[str]]) -> None:
-        self.langs = sorted(texts)
-        data = {lang: [np.concatenate([np.full(ORDER, 32, np.uint8), fold(t)]) for t in texts[lang]] for lang in self.langs}
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.langs = sorted(counts)
+        self.blocks = [Block([counts[x] for x in self.langs[i : i + TOGETHER]]) for i in range(0, len(self.langs), TOGETHER)]
+
+    def bits(self, texts: list[str]) -> np.ndarray:
+        """Code length of every text in every language; one row each."""
+        return np.hstack([b.bits(texts) for b in self.blocks]) if self.blocks else np.zeros((len(texts), 0))
+
+
+class Block:
+    """Frozen context trees of some languages as one table."""
+
+    def __init__(self, data: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.langs = range(len(data))
         seen = np.zeros(256, bool)
-        for parts in data.values():
-            for p in parts:
-                seen[p] = True
+        for grams, _ in data:
+            for d in range(ORDER + 1):
+                seen[grams >> 8 * d & 255] = True
         seen[32] = True
         self.symbol = np.zeros(256, np.int64)  # 0: never seen
         self.symbol[seen] = np.arange(1, seen.sum() + 1)
         a = self.size = int(seen.sum()) + 1
         # Counts by context; a context of k bytes is a number in base a below a**k.
-        counts = [[{} for _ in range(ORDER + 1)] for _ in self.langs]
-        for li, lang in enumerate(self.langs):
+        counts = [[{} for _ in range(ORDER + 1)] for _ in data]
+        for li, (grams, often) in enumerate(data):
+            s = [self.symbol[grams >> 8 * (ORDER - d) & 255] for d in range(ORDER + 1)]
             for k in range(ORDER + 1):
-                keys = []
-                for p in data[lang]:
-                    s = self.symbol[p]
-                    code = np.zeros(len(s) - ORDER, np.int64)
-                    for d in range(k, -1, -1):
-                        code = code * a + s[ORDER - d : len(s) - d]
-                    keys.append(code)
-                uniq, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+                code = np.zeros(len(grams), np.int64)
+                for d in range(k, -1, -1):
+                    code = code * a + s[ORDER - d]
+                uniq, back = np.unique(code, return_inverse=True)
+                n = np.bincount(back, often, len(uniq))
                 ctx, sym = uniq // a, uniq % a
                 cut = np.flatnonzero(np.diff(ctx, prepend=-1))
                 for i, j in zip(cut, [*cut[1:], len(ctx)]):
@@ -156,31 +186,41 @@ class Trees:
 
 
 def learn(docs: DataFrame, per_language: int = 300) -> Trees:
-    """Trees from at most ``per_language`` documents of each language, chosen by a hash of the id."""
-    from pyspark.sql import Window as W
+    """Trees from at most ``per_language`` documents of each language, those with the smallest hashes of their ids.
 
+    Texts are counted where they are; what comes to the driver are the sums by
+    language and run of four bytes.
+    """
     rows = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    langs = [r.lang for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    order = F.xxhash64(F.col("doc_id"), F.lit(11))
-    ids = [r.doc_id for lang in langs for r in rows.where(F.col("lang") == lang).groupBy("doc_id").agg(F.first("lang").alias("lang")).orderBy(order, "doc_id").limit(per_language).select("doc_id").collect()]
-    texts: dict[str, list[str]] = {}
-    if ids:
-        chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-        found = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-        found = found.select("doc_id", "lang", "text").orderBy("doc_id", "text")
-        for r in found.collect():
-            texts.setdefault(r.lang, []).append(r.text)
-    return Trees({k: v for k, v in texts.items() if any(v)})
+    rows = rows.groupBy("doc_id", "lang").agg(F.xxhash64(F.col("doc_id"), F.lit(11)).alias("h"))
+    many = sized(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    # Hashes lie evenly, so few more than the rows wanted are below this border; only those are ranked.
+    border = (F.col("h") / F.lit(2.0**63) + 1) / 2 <= 4.0 * per_language / F.col("n") + F.lit(1e-9)
+    few = rows.join(many, "lang").where((F.col("n") <= 4 * per_language) | border)
+    chosen = few.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("at") <= per_language).select("doc_id", "lang")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts: dict[str, list[str]] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                texts.setdefault(lang, []).append(text)
+            for lang, of in texts.items():
+                grams, n = grams_of(of)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
+
+    found = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").join(sized(chosen), ["doc_id", "lang"], "left_semi")
+    got = found.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    return Trees({lang: (of["gram"].to_numpy(np.int64), of["n"].to_numpy(np.int64)) for lang, of in got.groupby("lang")})
 
 
 def predict(docs: DataFrame, per_language: int = 300) -> DataFrame:
     trees = docs.sparkSession.sparkContext.broadcast(learn(docs, per_language))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = trees.value
         names = np.array([*model.langs, "und"], dtype=object)
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             best, score = np.full(len(texts), len(model.langs)), np.zeros(len(texts))
             letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)
             if model.langs and letters.any():
@@ -189,6 +229,6 @@ def predict(docs: DataFrame, per_language: int = 300) -> DataFrame:
                 better = 2.0 ** (8 * (per.min(axis=1, keepdims=True) - per))
                 best = np.where(letters, bits.argmin(axis=1), best)
                 score = np.where(letters, 1 / better.sum(axis=1), 0.0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": names[best], "score": score})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInPandas(score, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(score, RESULT)

@@ -12,9 +12,12 @@ are.
 
 Defined cases: null and empty texts, and texts without a known term, get the
 share of label 1; without learnable rows of both labels every row gets that
-share (1 without any, so nothing is rejected on no evidence); ties among
-neighbours go by the sample's order; repeated rows give a row each; empty
-tables give none; extra columns are ignored.
+share (1 without any, so nothing is rejected on no evidence); texts of any
+length are scored whole; equal similarities (ties) go by the sample's order;
+repeated rows give a row each; repeated ids with different texts are scored each
+by its text and all learnt from; a null ``doc_id`` is scored, never learnt from
+and not held out; empty tables give none; extra columns are ignored by
+``classify`` and carried along by ``keep``.
 """
 
 from __future__ import annotations
@@ -127,6 +130,9 @@ class Voters:
             norm = np.linalg.norm(z, axis=1)
             cos = (z / np.maximum(norm, 1e-9)[:, None]) @ self.z.T
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            least = np.take_along_axis(cos, near, axis=1).min(axis=1)
+            for i in np.flatnonzero((cos >= least[:, None]).sum(axis=1) > k):  # ties for the last places
+                near[i] = np.argsort(-cos[i], kind="stable")[:k]
             w = np.maximum(np.take_along_axis(cos, near, axis=1), 0) ** 4 * self.weight[near]
             total = w.sum(axis=1)
             vote = (w * self.y[near]).sum(axis=1)
@@ -156,13 +162,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Voters:
 def classify(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, most))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = model.value
         for batch in batches:
-            p = voters.score([t or "" for t in batch["text"]])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": p, "predicted": (p >= THRESHOLD).astype("int32")})
+            p = voters.score([t or "" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInPandas(score, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(score, RESULT)
 
 
 def keep(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataFrame:
