@@ -10,14 +10,18 @@ neighbour over there must be. In a list, dot products come from table lookups
 cosine from above, and what reaches the threshold is ranked again by the exact
 cosine in double precision. Neither bound can lose a link, so recall is 1.
 
-Equal vectors of one label are one class with its number of copies. Lists and
-their visitors are dealt in blocks of bounded size. Links are counted where
-they are found; only a spanning forest of each block leaves it.
+Lists of neighbouring centroids share a task, so a query is sent once to a
+task and not once to each list it probes there. Equal vectors of one label are
+one class with its number of copies. A task's vectors and visitors are dealt
+in blocks of bounded size. Links are counted where they are found; only a
+spanning forest of each block leaves it.
 
 Defined cases: null labels, null or zero vectors and such with null or
 non-finite components link with nothing; vectors of different lengths don't
-link; repeated rows link with each other; empty tables give no rows; extra
-columns are ignored.
+link, and each length has codebooks of its own; a cosine of exactly the
+threshold (a tie) links; repeated rows link with each other; a repeated or null
+``vec_id`` is a row like any other, but null names no component; empty tables
+give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, sized
+from .common import checkpoint, components, sized, spread, stored
 
 PARTS, CODES = 8, 256
 #: Rounding of a bound; links themselves are judged without it.
 SLACK = 1e-6
-HOMES, VISITORS = 4_000, 16_000
+HOMES, VISITORS = 8_000, 16_000
+#: Rounding of the tables in single precision.
+COARSE_SLACK = 1e-4
 
 
 def unit(rows: list[bytes]) -> np.ndarray:
@@ -56,9 +63,11 @@ def means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.nd
 
 
 class Codebooks:
-    def __init__(self, sample: np.ndarray, lists: int, threshold: float, seed: int = 9) -> None:
+    def __init__(self, sample: np.ndarray, lists: int, threshold: float, tasks: int = 1, seed: int = 9) -> None:
         rng = np.random.default_rng(seed)
         self.coarse = means(sample, lists, 12, rng)
+        over = means(self.coarse, tasks, 12, rng)
+        self.task = (self.coarse @ over.T - 0.5 * (over * over).sum(axis=1)).argmax(axis=1)
         self.half = (self.coarse**2).sum(axis=1) / 2
         gap = (self.coarse[:, None, :] - self.coarse[None, :, :]) if len(self.coarse) <= 256 else None
         self.apart = np.sqrt((gap**2).sum(axis=2)) if gap is not None else np.sqrt(np.maximum(2 * (self.half[:, None] + self.half[None, :] - self.coarse @ self.coarse.T), 0))
@@ -90,41 +99,58 @@ class Codebooks:
             out[:, cut] += c[codes[:, k]]
         return out
 
-    def bounds(self, q: np.ndarray, at: int, codes: np.ndarray, error: np.ndarray) -> np.ndarray:
-        """Upper bounds of the cosines of queries with the coded vectors of list ``at``."""
-        out = (q @ self.coarse[at])[:, None] + error[None, :] + SLACK
-        for k, (cut, c) in enumerate(zip(self.cuts, self.fine)):
-            out += (q[:, cut] @ c.T)[:, codes[:, k]]  # the query's table, looked up by code
-        return out
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """Each query's products with the centroids of every subspace."""
+        return [(q[:, cut] @ c.T).astype(np.float32) for cut, c in zip(self.cuts, self.fine)]
 
 
-def near(books: Codebooks, at: int, threshold: float, homes: pd.DataFrame, visitors: pd.DataFrame, step: int = 256) -> pd.DataFrame:
+def near(books: Codebooks, threshold: float, homes: pd.DataFrame, visitors: pd.DataFrame, step: int = 256) -> pd.DataFrame:
     """Links of visitors with homes: each visitor's number of linked vectors and, for both, a common node ``to``."""
-    ids, copies = homes["cid"].to_numpy(np.int64), homes["copies"].to_numpy(np.int64)
+    homes = homes.sort_values("list")
+    ids, copies, lists = (homes[c].to_numpy(np.int64) for c in ("cid", "copies", "list"))
     h = unit(homes["vec"].tolist())
-    codes, error = np.stack([np.frombuffer(c, np.uint8) for c in homes["codes"]]), homes["error"].to_numpy(float)
-    guests, tree = visitors["cid"].to_numpy(np.int64), np.arange(len(ids))
+    codes, error = np.stack([np.frombuffer(c, np.uint8) for c in homes["codes"]]), homes["error"].to_numpy(np.float32)
+    found, begin = np.unique(lists, return_index=True)
+    end = [*begin[1:], len(lists)]
+    guests, own, tree = visitors["cid"].to_numpy(np.int64), visitors["list"].to_numpy(np.int64), np.arange(len(ids))
     out, linked = [], np.zeros(len(ids), bool)
     for s in range(0, len(guests), step):
         q = unit(visitors["vec"].iloc[s : s + step].tolist())
-        r, c = np.nonzero(books.bounds(q, at, codes, error) >= threshold)
+        tables, centre = books.tables(q), q @ books.coarse[found].T
+        mine = own[s : s + step]
+        behind = ((q * books.coarse[mine]).sum(axis=1) - books.half[mine])[:, None] - (centre - books.half[found])
+        probe = behind <= books.reach * books.apart[mine][:, found] + SLACK
+        rows, columns = [], []
+        for k in range(len(found)):
+            v = np.flatnonzero(probe[:, k])
+            if not len(v):
+                continue
+            part = slice(begin[k], end[k])
+            bound = centre[v, k].astype(np.float32)[:, None] + (error[part] + np.float32(COARSE_SLACK))[None, :]
+            for j, t in enumerate(tables):
+                bound += t[v][:, codes[part, j]]  # the query's table, looked up by code
+            r, c = np.nonzero(bound >= threshold)
+            rows.append(v[r])
+            columns.append(c + begin[k])
+        if not rows:
+            continue
+        r, c = np.concatenate(rows), np.concatenate(columns)
         true = np.zeros(len(r), bool)
         for i in range(0, len(r), 50_000):
             j = slice(i, i + 50_000)
             true[j] = (q[r[j]] * h[c[j]]).sum(axis=1) >= threshold
+        true &= ids[c] != guests[s + r]
         r, c = r[true], c[true]
-        for v in np.unique(r):
-            of = c[r == v] if len(r) < 64 else c[np.searchsorted(r, v) : np.searchsorted(r, v, "right")]
-            of = of[ids[of] != guests[s + v]]
-            if not len(of):
-                continue
+        order = np.argsort(r, kind="stable")
+        r, c = r[order], c[order]
+        for of, v in zip(np.split(c, np.flatnonzero(np.diff(r)) + 1) if len(r) else (), np.unique(r)):
             roots = np.unique(tree[of])
             if len(roots) > 1:
                 tree[np.isin(tree, roots)] = roots[0]
             linked[of] = True
             out.append((guests[s + v], int(copies[of].sum()), of[0]))
     rows = [(a, n, ids[tree[of]]) for a, n, of in out] + [(ids[i], 0, ids[tree[i]]) for i in np.flatnonzero(linked)]
-    return pd.DataFrame(rows, columns=["cid", "n", "to"])
+    return pd.DataFrame(rows, columns=["cid", "n", "to"], dtype="int64")
 
 
 def linked(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_000) -> DataFrame:
@@ -133,22 +159,23 @@ def linked(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_000) ->
     doubles = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", doubles.alias("e"))
     usable = F.col("label").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("e", lambda x: x != 0)
-    key = F.when(F.coalesce(usable, F.lit(False)), F.struct("label", "e"))
-    rows = rows.withColumn("key", key)
-    classes = checkpoint(rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")).select("key.label", "key.e", "copies", "least", F.monotonically_increasing_id().alias("cid")))
+    # Two hashes of label and components stand for a vector wherever it need not be looked into.
+    rows = rows.select("*", *[F.when(F.coalesce(usable, F.lit(False)), F.xxhash64(F.lit(k), "label", "e")).alias(c) for k, c in enumerate("ab")])
+    narrow = stored(rows.select("vec_id", "a", "b"))
+    classes = stored(rows.where("a IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("e").alias("e")).withColumn("cid", F.monotonically_increasing_id()))
     parts = [within(classes.where(F.size("e") == r.d), r.n, threshold, sample) for r in classes.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()]
     found = spark.createDataFrame([], "cid long, n long, to long")
     for p in parts:
         found = found.union(p)
     found = checkpoint(found)
     n = found.groupBy("cid").agg(F.sum("n").alias("n"))
-    comp = components(classes.select(F.col("cid").alias("node")), found.select(F.col("cid").alias("a"), F.col("to").alias("b")))
-    named = classes.join(comp.withColumnRenamed("node", "cid"), "cid").join(n, "cid", "left")
+    slim = classes.select("cid", "a", "b", "copies", "least")
+    comp = components(slim.select(F.col("cid").alias("node")), found.select(F.col("cid").alias("a"), F.col("to").alias("b")))
+    named = stored(slim.join(comp.withColumnRenamed("node", "cid"), "cid").join(n, "cid", "left"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("label", "e", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id")
-    joined = rows.alias("r").join(named.select(F.struct("label", "e").alias("key"), "n_links", "component_id"), "key", "left")
+    named = spread(named, least, ["component"]).select("a", "b", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id")
     component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return spread(narrow, named, ["a", "b"], "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
 def within(classes: DataFrame, count: int, threshold: float, sample: int) -> DataFrame:
@@ -156,38 +183,43 @@ def within(classes: DataFrame, count: int, threshold: float, sample: int) -> Dat
     spark = classes.sparkSession
     chosen = classes.orderBy(F.xxhash64("e", "cid")).limit(sample).select("e").collect() if count > sample else classes.select("e").collect()
     fit = unit([np.array(r.e, "<f8").tobytes() for r in chosen])
-    books = spark.sparkContext.broadcast(Codebooks(fit, int(min(4096, max(16, count**0.5 / 2))), threshold))
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+    books = spark.sparkContext.broadcast(Codebooks(fit, int(min(4096, max(16, count**0.5 / 2))), threshold, -(-largest // HOMES)))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = books.value
         for batch in batches:
-            for s in range(0, len(batch), 1000):
-                part = batch.iloc[s : s + 1000]
-                raw = [np.array(e, "<f8").tobytes() for e in part["e"]]
+            for s in range(0, batch.num_rows, 1000):
+                part = batch.slice(s, 1000)
+                e = part.column("e").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(part.num_rows, -1)
+                raw = [row.tobytes() for row in e]
                 x = unit(raw)
                 home, codes, error = b.encode(x)
                 r, at = b.probes(x)
-                raw = np.array(raw, dtype=object)
-                base = {"label": part["label"].to_numpy(), "cid": part["cid"].to_numpy(), "copies": part["copies"].to_numpy()}
-                yield pd.DataFrame(base | {"list": home, "vec": raw, "codes": [c.tobytes() for c in codes], "error": error, "visit": False})
-                yield pd.DataFrame({k: v[r] for k, v in base.items()} | {"list": at, "vec": raw[r], "codes": None, "error": 0.0, "visit": True})
+                r, task = np.unique(np.stack([r, b.task[at]]), axis=1)
+                for of, where, visit in ((np.arange(len(x)), b.task[home], False), (r, task, True)):
+                    take = pa.array(of)
+                    kept = [part.column(c).take(take) for c in ("label", "cid", "copies")]
+                    own = [pa.array(where, pa.int32()), pa.array(home[of], pa.int32()), pa.array([raw[i] for i in of], pa.binary()), pa.array([None if visit else codes[i].tobytes() for i in of], pa.binary()), pa.array(error[of]), pa.array([visit] * len(of))]
+                    yield pa.RecordBatch.from_arrays([*kept, *own], names=["label", "cid", "copies", "task", "list", "vec", "codes", "error", "visit"])
 
     label = classes.schema["label"].dataType.simpleString()
-    rows = checkpoint(classes.select("label", "e", "copies", "cid").mapInPandas(assign, f"label {label}, cid long, copies long, list int, vec binary, codes binary, error double, visit boolean"))
-    sizes = rows.groupBy("label", "list").agg(F.ceil(F.count(F.when(~F.col("visit"), 1)) / HOMES).cast("int").alias("hs"), F.ceil(F.count(F.when(F.col("visit"), 1)) / VISITORS).cast("int").alias("vs")).where("hs > 0 AND vs > 0")
-    rows = rows.join(sized(sizes), ["label", "list"])
+    rows = stored(classes.select("label", "e", "copies", "cid").mapInArrow(assign, f"label {label}, cid long, copies long, task int, list int, vec binary, codes binary, error double, visit boolean"))
+    sizes = rows.groupBy("label", "task").agg(F.ceil(F.count(F.when(~F.col("visit"), 1)) / HOMES).cast("int").alias("hs"), F.ceil(F.count(F.when(F.col("visit"), 1)) / VISITORS).cast("int").alias("vs")).where("hs > 0 AND vs > 0")
+    rows = rows.join(sized(sizes), ["label", "task"])
     salt = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    homes = rows.where("NOT visit").select("label", "list", salt("hs").alias("h"), F.explode(span("vs")).alias("v"), "cid", "copies", "vec", "codes", "error", "visit")
-    visitors = rows.where("visit").select("label", "list", F.explode(span("hs")).alias("h"), salt("vs").alias("v"), "cid", "copies", "vec", "codes", "error", "visit")
+    rest = ("cid", "copies", "list", "vec", "codes", "error", "visit")
+    homes = rows.where("NOT visit").select("label", "task", salt("hs").alias("h"), F.explode(span("vs")).alias("v"), *rest)
+    visitors = rows.where("visit").select("label", "task", F.explode(span("hs")).alias("h"), salt("vs").alias("v"), *rest)
 
-    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
         at_home = ~rows["visit"].to_numpy(bool)
         if at_home.all() or not at_home.any():
             return pd.DataFrame(columns=["cid", "n", "to"], dtype="int64")
-        return near(books.value, int(key[1]), threshold, rows[at_home], rows[~at_home])
+        return near(books.value, threshold, rows[at_home], rows[~at_home])
 
-    return homes.union(visitors).groupBy("label", "list", "h", "v").applyInPandas(block, "cid long, n long, to long")
+    return homes.union(visitors).groupBy("label", "task", "h", "v").applyInPandas(block, "cid long, n long, to long")
 
 
 ORACLE = """

@@ -37,7 +37,7 @@ def test_against_brute_force(spark, monkeypatch, blocks):
             rows.append((len(rows), (base + rng.normal(size=24) * rng.choice([0, 0.1, 0.25, 0.35])).astype(np.float32).tolist(), int(g % 3)))
     bad = [None, [], [0.0] * 24, [1.0] * 23 + [None], [1.0] * 23 + [float("nan")], [1.0] * 23 + [float("inf")]]
     rows += [(1000 + i, e, 1) for i, e in enumerate(bad)] + [(1100, rows[0][1], None), (1101, rows[0][1], 0), (1102, rows[0][1], 0), (1103, [1.0, 2.0], 0), (1104, [2.0, 4.0], 0)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    frame = spark.createDataFrame([(*r, 7, "x", r[0], 0) for r in rows], "vec_id long, embedding array<float>, label int, cid long, a string, component_id long, e int")
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.linked(frame).collect())
     assert got == brute(rows)
 
