@@ -80,17 +80,19 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
 
 
-def spread(big: DataFrame, small: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+def spread(big: DataFrame, small: DataFrame, key: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``big`` joined with ``small``, in which each ``key`` stands once, without a task for all rows of a hot key.
 
     Keys with more than 1 / ``HOT_SHARE`` of the rows are fewer than
     ``HOT_SHARE``, however large ``big`` is, so their rows of ``small`` are
     broadcast; all other keys are shuffled. Null keys match nothing; with
     ``how="left"`` their rows stay where they are. ``big`` is read twice, so it
-    should be materialised.
+    should be materialised. ``counts`` are the rows of ``big`` by key as column
+    ``count``, where they are known already.
     """
     limit = max(HOT_ROWS, big.count() // HOT_SHARE)
-    hot = checkpoint(big.groupBy(*key).count().where(F.col("count") > limit).select(*key).dropna())
+    counts = big.groupBy(*key).count() if counts is None else counts
+    hot = checkpoint(counts.where(F.col("count") > limit).select(*key).dropna())
     null = F.lit(False)
     for k in key:
         null = null | F.col(k).isNull()
