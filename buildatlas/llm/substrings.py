@@ -385,9 +385,9 @@ def marked(docs: DataFrame, crowd: int, per_shard: int) -> tuple[DataFrame, Data
     got = stored(once.select("text", "wanted").mapInPandas(fetch, "seed long, digest long, copies long, hot boolean, words binary"))
     total = got.where("NOT hot").agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
     spans = got.where("NOT hot").repartition(max(1, -(-int(total) // per_shard)), "seed").mapInPandas(search, SPANS)
-    each = got.where("hot").mapInPandas(windows, "seed long, digest long, copies long, i int, a long, b long")
-    twice = each.groupBy("a", "b").agg(F.sum("copies").alias("n")).where("n > 1").select("a", "b")
-    bits = each.join(twice, ["a", "b"]).groupBy("seed", "digest").agg(F.collect_set("i").alias("bits"))
+    each = stored(got.where("hot").mapInPandas(windows, "seed long, digest long, copies long, i int, a long, b long"))
+    often = each.groupBy("a", "b").agg(F.sum("copies").alias("n"), F.count("*").alias("count"))
+    bits = spread(each, often.where("n > 1").select("a", "b"), ["a", "b"], counts=often).groupBy("seed", "digest").agg(F.collect_set("i").alias("bits"))
     found = stored(spans.union(bits.mapInPandas(spanned, SPANS)))
     marks = spread(rows, found, ["seed", "digest"]).groupBy(*KEY).agg(F.collect_list(F.struct("start", "spans")).alias("marks"))
     return texts, first.where("start IS NULL").select(*KEY, "doc_id", "n_words", "sha"), stored(marks)
