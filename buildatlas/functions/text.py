@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-#: Every word of a line and what stands before it.
-WORDS = r"(?U)(\W*)(\w+)"
+WORD = re.compile(r"\w+")
 
 
 def ids(c: Column) -> Column:
@@ -23,17 +27,23 @@ def reference(value: Column) -> Column:
     return F.regexp_extract(value, r"^\(?\s*&?\s*(\w+)\s*\)?$", 1)
 
 
-def tokens(line: Column) -> Column:
-    """``array<struct<name, start, end>>`` of a line's words, in code points."""
-    pairs = F.arrays_zip(F.regexp_extract_all(line, F.lit(WORDS), F.lit(1)).alias("gap"), F.regexp_extract_all(line, F.lit(WORDS), F.lit(2)).alias("name"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<name:string,start:int,end:int>>").alias("out"))
+def token_rows(df: DataFrame, line: str = "text") -> DataFrame:
+    """``df`` without ``line``, and ``name, start, end`` of every word in it, in code points; one pass over Arrow batches."""
+    kept = [c for c in df.columns if c != line]
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["name"])
-        return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(x["name"].alias("name"), start.alias("start"), end.alias("end"))).alias("out"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, names, starts, ends = [], [], [], []
+            for i, text in enumerate(batch.column(line).to_pylist()):
+                for m in WORD.finditer(text or ""):
+                    at.append(i)
+                    names.append(m[0])
+                    starts.append(m.start())
+                    ends.append(m.end())
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in kept), pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[*kept, "name", "start", "end"])
 
-    return F.aggregate(pairs, state, step, lambda s: s["out"])
+    return df.mapInArrow(cut, StructType([*(df.schema[c] for c in kept), *(StructField(n, t) for n, t in (("name", StringType()), ("start", IntegerType()), ("end", IntegerType())))]))
 
 
 def loc(content: Column) -> Column:
@@ -52,8 +62,26 @@ def macro_args(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ","), lambda x: F.regexp_extract(x, r"^ ?actual_arg\d+=(.*)$", 1)), lambda x: x != "")
 
 
+def shell_words(c: Column) -> Column:
+    """Words as a shell splits them: quotes and backslashes keep blanks together and go."""
+    found = F.regexp_extract_all(c, F.lit(r"""((?:\\.|"(?:\\.|[^"\\])*"|'[^']*'|[^\s"'\\])+)"""), F.lit(1))
+    # One alternative a step, from the left: an escaped character, a double-quoted part, a single-quoted one.
+    part = r"""\\(.)|"((?:\\.|[^"\\])*)"|'([^']*)'"""
+    return F.transform(found, lambda w: F.regexp_replace(w, part, "$1$2$3"))
+
+
 def dependencies(rule: Column) -> Column:
-    """Prerequisites of a make rule as a compiler writes it; backslash-escaped spaces belong to names."""
-    body = F.regexp_replace(F.regexp_replace(rule, r"^[^:]*:\s*", ""), r"\\\r?\n", " ")
-    found = F.regexp_extract_all(body, F.lit(r"((?:\\.|[^\s\\])+)"), F.lit(1))
-    return F.transform(found, lambda x: F.regexp_replace(x, r"\\(.)", "$1"))
+    """Prerequisites of a make rule as a compiler writes it, the target left out."""
+    words = F.filter(shell_words(F.regexp_replace(rule, r"\\\r?\n", " ")), lambda w: w != "")
+    words = F.transform(words, lambda w: F.regexp_replace(w, ":$", ""))
+    rest = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.array_distinct(F.filter(rest, lambda w: w != ""))
+
+
+#: How Microsoft's compiler says, in two languages, that it reads a header.
+INCLUDING = "(?:Note: including file:|Примечание: включение файла:)"
+
+
+def shown_includes(output: Column) -> Column:
+    """Headers that a compiler's output names."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(output, F.lit(rf"(?m)^.*?{INCLUDING}[ \t]*([^\r\n]*)"), F.lit(1)), F.trim))

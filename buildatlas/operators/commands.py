@@ -133,12 +133,24 @@ def unwrapped(cmds: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def parsed(cmds: DataFrame, kind: str, is_dir=None) -> DataFrame:
-    """``id, pid, cwd, type, in, out, opts, command``; the executable stands first in ``command``."""
+def parsed(cmds: DataFrame, kind: str | list[str], is_dir=None) -> DataFrame:
+    """``id, pid, cwd, type, in, out, opts, command``; the executable stands first in ``command``.
+
+    With a list of kinds the commands carry their ``type``, and one scan parses
+    them all.
+    """
+    if isinstance(kind, str):
+        cmds, kinds = cmds.withColumn("type", F.lit(kind)), [kind]
+    else:
+        kinds = kind
     first = F.concat(F.array(paths.normpath(F.col("which"))), F.slice("command", F.lit(2), F.greatest(F.size("command") - 1, F.lit(0))))
+    parts = None
+    for k in kinds:
+        own = shape(k, F.col("command"), F.col("cwd"), is_dir)
+        parts = F.when(F.col("type") == k, own) if parts is None else parts.when(F.col("type") == k, own)
     # inline() keeps the fold from being copied into every later use of its parts.
-    got = cmds.select("id", "pid", "cwd", first.alias("__first"), F.inline(F.array(shape(kind, F.col("command"), F.col("cwd"), is_dir))))
-    return got.select("id", "pid", "cwd", F.lit(kind).alias("type"), "in", "out", "opts", F.col("__first").alias("command"))
+    got = cmds.select("id", "pid", "cwd", "type", first.alias("__first"), F.inline(F.array(parts)))
+    return got.select("id", "pid", "cwd", "type", "in", "out", "opts", F.col("__first").alias("command"))
 
 
 def normalized(cmds: DataFrame) -> DataFrame:
@@ -174,15 +186,25 @@ def compilations(cmds: DataFrame) -> DataFrame:
 
 
 def archives(cmds: DataFrame, files: DataFrame, defaults: list[str]) -> DataFrame:
-    """``id, path`` of the libraries that ``-l`` options name: the first that ``files(path)`` has, by directory and suffix."""
-    libs = F.regexp_extract_all(F.concat_ws(" ", "opts"), F.lit(r"(?:^|\s)(?:-l ?|--library[= ])(\S+)"), F.lit(1))
-    dirs = F.concat(F.array(*[F.lit(d) for d in defaults]), F.regexp_extract_all(F.concat_ws(" ", "opts"), F.lit(r"(?:^|\s)(?:-L ?|--library-path[= ])(\S+)"), F.lit(1)))
-    asked = cmds.select("id", "cwd", F.explode(F.array_distinct(libs)).alias("lib"), dirs.alias("dirs")).select("id", "cwd", "lib", F.posexplode("dirs").alias("d", "dir"))
-    tries = F.when(F.col("lib").startswith(":"), F.array(F.substring("lib", 2, 1000))).otherwise(F.array(*[F.concat(F.lit(a), F.col("lib"), F.lit(z)) for a, z in (("lib", ".dylib"), ("lib", ".tbd"), ("lib", ".so"), ("lib", ".a"), ("", ".a"))]))
+    """``id, path`` of the libraries that ``-l`` options name: the first that ``files(path)`` has, by directory and suffix.
+
+    Directories of ``-L`` lie below that of ``-syslibroot`` if they are absolute.
+    """
+    values = lambda names: F.regexp_extract_all(F.concat_ws(" ", "opts"), F.lit(rf"(?:^|\s)(?:{names})(\S+)"), F.lit(1))
+    root = F.try_element_at(values(r"-syslibroot[ =]"), F.lit(1))
+    rooted = lambda d: F.when(root.isNotNull() & d.startswith("/"), F.concat(root, d)).otherwise(d)
+    dirs = F.concat(F.array(*[F.lit(d) for d in defaults]), F.transform(values("-L ?|--library-path[= ]"), rooted))
+    asked = cmds.select("id", "cwd", F.explode(F.array_distinct(values("-l ?|--library[= ]"))).alias("lib"), dirs.alias("dirs")).select("id", "cwd", "lib", F.posexplode("dirs").alias("d", "dir"))
+    tries = F.when(F.col("lib").startswith(":"), F.array(F.expr("substring(lib, 2)"))).otherwise(F.array(*[F.concat(F.lit(a), F.col("lib"), F.lit(z)) for a, z in (("lib", ".dylib"), ("lib", ".tbd"), ("lib", ".so"), ("lib", ".a"), ("", ".a"))]))
     tried = asked.select("id", "lib", "d", "dir", "cwd", F.posexplode(tries).alias("s", "name")).withColumn("path", paths.absolute(F.concat_ws("/", "dir", "name"), F.col("cwd")))
     return tried.join(files.select("path").distinct(), "path").groupBy("id", "lib").agg(F.min_by("path", F.struct("d", "s")).alias("path")).select("id", "path").distinct()
 
 
+def analysable(cmds: DataFrame) -> DataFrame:
+    """Commands that an analyser of C can take: inputs, and no standard input, null device or assembler source among them."""
+    return cmds.where((F.size("in") > 0) & ~F.exists("in", lambda p: p.isin("-", "/dev/null") | p.rlike(r"\.[sS]$")))
+
+
 # -- relations among commands and files ------------------------------------------------------
 
 
@@ -228,9 +250,9 @@ def source_graph(compiled: DataFrame, reach: DataFrame) -> DataFrame:
 
 def files_linked(pairs: DataFrame, src_graph: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` of compile commands that some command uses both of."""
-    used = src_graph.groupBy("cmd_id").agg(F.array_distinct(F.flatten(F.collect_set("used_by"))).alias("used"))
-    both = pairs.join(used.select(F.col("cmd_id").alias("a"), F.col("used").alias("ua")), "a").join(used.select(F.col("cmd_id").alias("b"), F.col("used").alias("ub")), "b")
-    return both.where(F.arrays_overlap("ua", "ub")).select("a", "b").distinct()
+    users = src_graph.select("cmd_id", F.explode("used_by").alias("by")).distinct()
+    mine = pairs.select("a", "b").distinct().join(users.withColumnRenamed("cmd_id", "a"), "a")
+    return mine.join(users.withColumnRenamed("cmd_id", "b"), ["b", "by"], "left_semi").select("a", "b").distinct()
 
 
 def compilation_database(cmds: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -253,3 +275,20 @@ def file_graph(cmds: DataFrame, include: str | None = None, exclude: str | None
             for c in ("src", "dst"):
                 edges = edges.where(F.col(c).rlike(pattern) == wanted)
     return edges.distinct()
+
+
+def database_json(db: DataFrame) -> DataFrame:
+    """``id, line``: the entries of a compilation database as JSON objects."""
+    return db.select("id", F.to_json(F.struct("directory", "arguments", "file", "output")).alias("line"))
+
+
+def dependencies(rules: DataFrame, cmds: DataFrame, with_inputs: bool = False) -> DataFrame:
+    """``id, path``: what compile commands depend on, from ``rules(id, deps)`` of each of their inputs, normalised and distinct.
+
+    ``with_inputs`` adds the inputs themselves, which Microsoft's compiler
+    doesn't list.
+    """
+    named = rules.select("id", F.explode("deps").alias("path")).join(cmds.select("id", "cwd"), "id").select("id", paths.absolute(F.col("path"), F.col("cwd")).alias("path"))
+    if with_inputs:
+        named = named.unionByName(cmds.select("id", "cwd", F.explode("in").alias("path")).select("id", paths.absolute(F.col("path"), F.col("cwd")).alias("path")))
+    return named.distinct()

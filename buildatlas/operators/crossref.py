@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +25,27 @@ def occurrences(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     # One row a line, so that each line is cut into words once.
     asked = wanted.groupBy("file", "line").agg(F.collect_set(F.struct("name", "kind")).alias("asked"))
     at = asked.join(lines, (F.col("file") == F.col("path")) & (F.col("line") == F.col("line_no")))
-    hits = F.filter(text.tokens(F.col("text")), lambda t: F.exists("asked", lambda a: a["name"] == t["name"]))
-    words = at.select("file", "line", "asked", F.explode(hits).alias("t")).select("file", "line", F.explode("asked").alias("a"), "t").where("t.name = a.name")
-    found = words.select("file", "line", "a.name", "a.kind", "t.start", "t.end")
+    found = at.select("file", "line", "asked", "text").mapInArrow(_words, "file string, line int, name string, kind string, start int, end int")
     first = found.where("kind = 'def_macro'").groupBy("file", "line", "name", "kind").agg(F.min_by(F.struct("start", "end"), "start").alias("t"))
     return found.where("kind <> 'def_macro'").unionByName(first.select("file", "line", "name", "kind", "t.start", "t.end"))
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, rows = [], []
+        for i, (asked, line) in enumerate(zip(batch.column("asked").to_pylist(), batch.column("text").to_pylist())):
+            kinds: dict[str, list[str]] = {}
+            for a in asked:
+                kinds.setdefault(a["name"], []).append(a["kind"])
+            for m in text.WORD.finditer(line):
+                for kind in kinds.get(m[0], ()):
+                    at.append(i)
+                    rows.append((m[0], kind, m.start(), m.end()))
+        of = pa.array(at, pa.int32())
+        name, kind, start, end = zip(*rows) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column("file").take(of), batch.column("line").cast(pa.int32()).take(of), pa.array(name, pa.string()), pa.array(kind, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["file", "line", "name", "kind", "start", "end"])
+
+
 def ref_to(occ: DataFrame, calls: DataFrame, defs: DataFrame, decls: DataFrame, expansions: DataFrame) -> DataFrame:
     """``file, kind, line, start, end, to_file, to_line``.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.durable import checkpoint
+from ..plans.durable import checkpoint, sized
 
 
 def ancestors(forest: DataFrame) -> DataFrame:
@@ -31,64 +33,103 @@ def ancestors(forest: DataFrame) -> DataFrame:
         reach = found
 
 
-def without_descendants(cmds: DataFrame, up: DataFrame, bad: DataFrame | None = None) -> DataFrame:
-    """``cmds`` none of whose ancestors is among them or the ``bad`` ones."""
-    marked = cmds.select(F.col("id").alias("ancestor"))
-    if bad is not None:
-        marked = marked.union(bad.select("id"))
-    hit = up.join(marked.distinct(), "ancestor", "left_semi").select("id")
-    return cmds.join(hit, "id", "left_anti")
+def below(forest: DataFrame, marked: DataFrame) -> DataFrame:
+    """``id`` of those in ``forest(id, pid)`` with an ancestor in ``marked(id)``.
+
+    Pointer jumping: a row an id and round, whatever the depth, so no list of
+    ancestors is ever made. Marked rows stop, as do those without a parent.
+    """
+    hit = marked.select(F.col("id").alias("up")).distinct().withColumn("__hit", F.lit(True))
+    rows = forest.select("id", F.col("pid").alias("up")).where("up < id").distinct()
+    now = checkpoint(rows.join(hit, "up", "left").select("id", "up", F.coalesce("__hit", F.lit(False)).alias("hit")))
+    while True:
+        over = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("hit").alias("more"))
+        now = checkpoint(now.join(over, "up", "left").select("id", F.when(~F.col("hit") & ~F.coalesce("more", F.lit(False)), F.col("next")).alias("up"), (F.col("hit") | F.coalesce("more", F.lit(False))).alias("hit")))
+        if now.where("up IS NOT NULL AND NOT hit").isEmpty():
+            return now.where("hit").select("id")
+
+
+def without_descendants(cmds: DataFrame, forest: DataFrame, bad: DataFrame | None = None) -> DataFrame:
+    """``cmds`` none of whose ancestors in ``forest(id, pid)`` is among them or the ``bad`` ones."""
+    marked = cmds.select("id") if bad is None else cmds.select("id").union(bad.select("id"))
+    return cmds.join(below(forest, marked), "id", "left_anti")
 
 
-def asof_edges(cmd_io: DataFrame) -> DataFrame:
-    """``(id, path, is_out)`` to distinct ``src, dst``: each reader's latest earlier writer of a path."""
-    before = W.partitionBy("path").orderBy("id", F.col("is_out").cast("int")).rowsBetween(W.unboundedPreceding, -1)
-    writer = F.last(F.when(F.col("is_out"), F.col("id")), ignorenulls=True).over(before)
-    return cmd_io.withColumn("src", writer).where("NOT is_out AND src < id").select("src", F.col("id").alias("dst")).distinct()
+#: Rows of a path from which its commands are cut into ranges of ids.
+LONG_PATH = 100_000
+
+
+def asof_edges(cmd_io: DataFrame, long_path: int = LONG_PATH, ranges: int = 256) -> DataFrame:
+    """``(id, path, is_out)`` to distinct ``src, dst``: each reader's latest earlier writer of a path.
+
+    A path that very many commands touch is cut into ranges of ids; each range
+    is searched by itself and takes over the last writer before it.
+    """
+
+    def last_before(rows: DataFrame, *by: str) -> DataFrame:
+        before = W.partitionBy(*by).orderBy("id", F.col("is_out").cast("int")).rowsBetween(W.unboundedPreceding, -1)
+        return rows.withColumn("src", F.last(F.when(F.col("is_out"), F.col("id")), ignorenulls=True).over(before))
+
+    edges = lambda rows: rows.where("NOT is_out AND src < id").select("src", F.col("id").alias("dst"))
+    busy = sized(cmd_io.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("n") > long_path))
+    if busy.isEmpty():
+        return edges(last_before(cmd_io, "path")).distinct()
+    rest = cmd_io.join(busy.select("path"), "path", "left_anti")
+    cut = checkpoint(cmd_io.join(busy, "path").withColumn("range", F.floor((F.col("id") - F.col("low")) * ranges / (F.col("high") - F.col("low") + 1))).select("id", "path", "is_out", "range"))
+    of_range = cut.groupBy("path", "range").agg(F.max(F.when(F.col("is_out"), F.col("id"))).alias("last"))
+    earlier = F.last("last", ignorenulls=True).over(W.partitionBy("path").orderBy("range").rowsBetween(W.unboundedPreceding, -1))  # a row a range
+    carried = F.broadcast(of_range.select("path", "range", earlier.alias("earlier")))
+    inside = last_before(cut, "path", "range").join(carried, ["path", "range"]).withColumn("src", F.coalesce("src", "earlier"))
+    return edges(last_before(rest, "path")).union(edges(inside)).distinct()
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """Distinct reachable pairs ``src, dst`` by semi-naive iteration, a checkpoint a round."""
-    base = checkpoint(edges.select("src", "dst").distinct())
-    step = base.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
-    found, front = base, base
+    """Distinct reachable pairs ``src, dst``, by doubling: after ``k`` rounds all ways of up to ``2 ** k`` edges.
+
+    Pairs of the last round are joined with all pairs known, so rounds follow
+    the logarithm of the longest way; rounds are parts that are never rewritten.
+    """
+    front = checkpoint(edges.select("src", "dst").distinct())
+    parts = [front]
     while True:
-        more = front.join(step, front["dst"] == step["mid"]).select("src", F.col("next").alias("dst")).distinct()
-        front = checkpoint(more.join(found, ["src", "dst"], "left_anti"))
+        known = reduce(DataFrame.unionByName, parts)
+        ahead = known.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
+        more = front.join(ahead, front["dst"] == ahead["mid"]).select("src", F.col("next").alias("dst"))
+        front = checkpoint(more.distinct().join(known, ["src", "dst"], "left_anti"))
         if front.isEmpty():
-            return found
-        found = checkpoint(found.unionByName(front))
+            return known
+        parts.append(front)
 
 
 def path_counts(edges: DataFrame) -> DataFrame:
     """``src, dst, paths``: in how many ways one command leads to another; of a DAG.
 
     Paths of one length are summed before they are lengthened, so rows follow
-    pairs and not paths.
+    pairs and not paths. Numbers over 64 bits are an error, not a wrong result.
     """
-    base = checkpoint(edges.select("src", "dst").distinct().withColumn("paths", F.lit(1).cast("bigint")))
+    base = checkpoint(edges.select("src", "dst").distinct().withColumn("paths", F.lit(1).cast("decimal(38,0)")))
     step = base.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
-    total, front = base, base
+    parts, front = [base], base
     while True:
-        front = checkpoint(front.join(step, front["dst"] == step["mid"]).groupBy("src", F.col("next").alias("dst")).agg(F.sum("paths").alias("paths")))
+        front = checkpoint(front.join(step, front["dst"] == step["mid"]).groupBy("src", F.col("next").alias("dst")).agg(F.sum("paths").cast("decimal(38,0)").alias("paths")))
         if front.isEmpty():
-            return total.groupBy("src", "dst").agg(F.sum("paths").alias("paths"))
-        total = checkpoint(total.unionByName(front))
+            total = reduce(DataFrame.unionByName, parts)
+            return total.groupBy("src", "dst").agg(F.expr("cast(sum(paths) AS bigint)").alias("paths"))
+        parts.append(front)
 
 
 def forward(edges: DataFrame, start: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """Edges reachable from ``start(node)``; nodes of ``stop(node)`` aren't left, unless the trace starts there."""
     base = checkpoint(edges.select("src", "dst").distinct())
     front = checkpoint(start.select("node").distinct())
-    seen, found = front, None
+    seen, found = [front], []
     while True:
-        out = checkpoint(base.join(front, base["src"] == front["node"], "left_semi"))
-        found = out if found is None else found.unionByName(out)
-        reached = out.select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        found.append(checkpoint(base.join(front, base["src"] == front["node"], "left_semi")))
+        reached = found[-1].select(F.col("dst").alias("node")).distinct().join(reduce(DataFrame.unionByName, seen), "node", "left_anti")
         front = checkpoint(reached if stop is None else reached.join(stop, "node", "left_anti"))
         if front.isEmpty():
-            return checkpoint(found.distinct())
-        seen = checkpoint(seen.union(front))
+            return checkpoint(reduce(DataFrame.unionByName, found).distinct())
+        seen.append(front)
 
 
 def between(edges: DataFrame, start: DataFrame, goal: DataFrame) -> DataFrame:
@@ -103,6 +144,18 @@ def without_ways(trace: DataFrame, edges: DataFrame, start: DataFrame, goal: Dat
     return trace.join(between(edges, start, goal), ["src", "dst"], "left_anti")
 
 
+def from_nodes(trace: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``trace`` without what can be reached from ``start(node)``, and without its own edges."""
+    return trace.join(forward(edges, start), ["src", "dst"], "left_anti")
+
+
+def to_nodes(trace: DataFrame, edges: DataFrame, goal: DataFrame) -> DataFrame:
+    """``trace`` without the edges that lie on a way to ``goal(node)`` from anywhere, and without those that leave it."""
+    back = forward(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), goal)
+    ways = back.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return trace.join(ways, ["src", "dst"], "left_anti").join(goal.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst")
+
+
 def callers(trace: DataFrame) -> DataFrame:
     return trace.select(F.col("src").alias("node")).distinct()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 VERSION = r"(?:-?\d+(?:\.\d+){0,2})?$"
 WHICH = {
-    "CC": [r"cc$", r"cc1$", r"[mg]cc" + VERSION, r"clang" + VERSION, r"aspectator$"],
+    "CC": [r"cc$", r"cc1$", r"[mg]cc" + VERSION, r"clang" + VERSION],
     "CXX": [r"[mgc]\+\+" + VERSION, r"clang\+\+" + VERSION],
     "LD": [r"(?:/|-)ld$", r"ld\.lld$"],
     "AS": [r"(?:/|-)as$"],
@@ -19,6 +19,7 @@ WHICH = {
 }
 #: The extensions that the klever presets ask for; ``Project`` builds any relation on demand.
 KLEVER = ["Callgraph", "Variables", "Typedefs", "Macros", "CrossRef"]
+#: An analyser's compiler isn't among the executables; ``which`` takes it as a setting.
 PRESETS = {
     "base": {"which": WHICH, "types": list(WHICH), "exclude": [], "exclude_in": [r"^-$", r"/dev/null"], "exclude_out": [r"/dev/null"], "include": [], "library_dirs": ["/lib", "/usr/lib", "/usr/local/lib"], "ignore_cc1": True, "filter_by_pid": True, "extensions": []},
     "kernel": {"extends": "base", "types": ["CC", "LD", "AR", "Objcopy", "MV"], "exclude": [r"\.tmp$"], "exclude_in": [r"^-$", r"/dev/null", r"scripts/(?!mod/empty\.c)", r"kernel/.*?bounds.*?", r"arch/x86/tools/relocs", r"arch/x86/kernel/asm-offsets.c", r"\.mod\.c", r"\.tmp\w+\.s", r"\.S"], "exclude_out": [r"/dev/null", r"scripts/(?!mod/.*empty\.o)", r"\.cmd$"]},

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import commands, crossref, graph, sourcecode
+from ..operators import commands, crossref, diff, graph, sourcecode
 from ..sources import facts, logs
 from .durable import checkpoint
 from .presets import settings
@@ -34,7 +36,7 @@ class Project:
     """
 
     def __init__(self, spark: SparkSession, cmds: DataFrame | str, fact_lines: dict[str, DataFrame] | None = None, files: DataFrame | None = None, deps: DataFrame | None = None, envs: DataFrame | str | None = None, preset: str = "base", **changes) -> None:
-        self.spark, self.conf = spark, settings(preset, **changes)
+        self.spark, self.conf, self.preset = spark, settings(preset, **changes), preset
         self.raw = logs.read_commands(spark, cmds) if isinstance(cmds, str) else cmds
         self.envs = logs.read_envs(spark, envs) if isinstance(envs, str) else envs
         self.fact_lines, self.files, self.deps = fact_lines or {}, files, deps
@@ -55,7 +57,7 @@ class Project:
             self._built[name] = build(self, *[self.get(r) for r in requires])
         return self._built[name]
 
-    def where(self, name: str, **keys) -> DataFrame:
+    def where(self, name: str, /, **keys) -> DataFrame:
         """Rows of a relation by key; a list or set of values, and ``None`` or an empty one for all."""
         df = self.get(name)
         for column, values in keys.items():
@@ -65,9 +67,21 @@ class Project:
                 df = df.where(F.col(column).isin(list(values)))
         return df
 
-    def save(self, folder: str, *names: str) -> None:
+    def save(self, folder: str, *names: str, by: str | None = None) -> None:
+        """Relations as Parquet below ``folder``; ``by`` a column, a folder each of its values."""
         for name in names:
-            self.get(name).write.mode("overwrite").parquet(f"{folder}/{name}")
+            rows = self.get(name)
+            (rows.repartition(by).write.partitionBy(by) if by else rows.write).mode("overwrite").parquet(f"{folder}/{name}")
+        write_meta(self.spark, folder, {"preset": self.preset, "version": VERSION} | {f"relation {n}": by or "" for n in names})
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str, name: str, /, **keys) -> DataFrame:
+        """Rows of a saved relation by key, as ``where`` takes them; only their folders and row groups are read."""
+        df = spark.read.parquet(f"{folder}/{name}")
+        for column, values in keys.items():
+            if values:
+                df = df.where(F.col(column).isin(list(values)))
+        return df
 
     # -- lookups ---------------------------------------------------------------------------
 
@@ -87,6 +101,18 @@ class Project:
             raise RuntimeError(f"{kind} commands are not parsed")
         return self.get("cmds").where(F.col("type") == kind).select("id", "type", "cwd", "in", "out", *["opts"] * with_opts, *["command"] * with_raw)
 
+    def cmd_deps(self, kind: str) -> DataFrame:
+        """``id, path``: what commands of a compiler depend on; an error for other types."""
+        if kind not in commands.COMPILERS:
+            raise RuntimeError(f"{kind} commands have no dependencies")
+        own = self.get("cmds").where(F.col("type") == kind)
+        return (own.select("id", F.explode("in").alias("path")) if self.deps is None else self.deps.join(own.select("id"), "id", "left_semi").select("id", "path")).distinct()
+
+    def compilations_of(self, files: list[str]) -> DataFrame:
+        """Compile commands that read one of ``files``."""
+        ids = self.where("src_graph", file=files).select(F.col("cmd_id").alias("id")).distinct()
+        return commands.compilations(self.get("cmds")).join(ids, "id", "left_semi")
+
     def root_cmds(self, id_: int) -> DataFrame:
         """All commands that lead to ``id_``, with the number of ways."""
         return self.get("cmd_paths").where(F.col("dst") == id_).select(F.col("src").alias("id"), "paths")
@@ -94,29 +120,107 @@ class Project:
     def leaf_cmds(self, id_: int) -> DataFrame:
         return self.get("cmd_paths").where(F.col("src") == id_).select(F.col("dst").alias("id"), "paths")
 
+    def calls_in(self, files: list[str], add_unknown: bool = True) -> DataFrame:
+        """Calls whose caller and callee both lie in ``files``, ``unknown`` beside them if asked for."""
+        here = [*files, *["unknown"] * add_unknown]
+        return self.get("call_edges").where(F.col("from_file").isin(here) & F.col("to_file").isin(here))
+
+    def macros(self, files: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+        return self.where("macro_defs", file=files, name=names)
+
+    def expansions(self, files: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+        return self.where("macro_exps", def_file=files, name=names)
+
     def functions_in(self, files: list[str], add_unknown: bool = True) -> DataFrame:
         return self.where("functions", file=[*files, *["unknown"] * add_unknown])
 
     def functions_like(self, pattern: str) -> DataFrame:
         return self.get("functions").where(F.col("func").rlike(f"(?i){pattern}"))
 
-    def trace(self, start: list[str], goal: list[str]) -> DataFrame:
-        """Calls on some way from functions to functions, as ``file:func`` nodes; an unknown name is an error."""
-        edges = self.get("call_edges").select(F.concat_ws(":", "from_file", "from_func").alias("src"), F.concat_ws(":", "to_file", "to_func").alias("dst"))
-        node = lambda c: edges.select(F.col(c).alias("node"))
-        nodes = checkpoint(node("src").union(node("dst")).distinct())
-        ends = []
-        for names in (start, goal):
-            found = nodes.where(F.substring_index("node", ":", -1).isin(names))
-            if missing := set(names) - {r[0] for r in found.select(F.substring_index("node", ":", -1)).distinct().collect()}:
-                raise RuntimeError(f"no functions {sorted(missing)}")
-            ends.append(found)
-        return graph.between(edges, *ends)
+    def named(self, nodes: DataFrame, names: list[str]) -> DataFrame:
+        """The nodes of functions by name; an unknown name is an error."""
+        found = checkpoint(nodes.where(F.substring_index("node", ":", -1).isin(names)))
+        if missing := set(names) - {r[0] for r in found.select(F.substring_index("node", ":", -1)).distinct().collect()}:
+            raise RuntimeError(f"no functions {sorted(missing)}")
+        return found
+
+    def trace(self, start: list[str], goal: list[str], without_from: list[str] = (), without_to: list[str] = ()) -> DataFrame:
+        """Calls on some way from functions to functions, as ``file:func`` nodes; an unknown name is an error.
+
+        ``without_from`` leaves out what these functions reach, ``without_to``
+        the ways to these.
+        """
+        edges = checkpoint(self.get("call_edges").select(F.concat_ws(":", "from_file", "from_func").alias("src"), F.concat_ws(":", "to_file", "to_func").alias("dst")).distinct())
+        nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+        found = graph.between(edges, self.named(nodes, start), self.named(nodes, goal))
+        if without_from:
+            found = graph.from_nodes(found, edges, self.named(nodes, list(without_from)))
+        if without_to:
+            found = graph.to_nodes(found, edges, self.named(nodes, list(without_to)))
+        return found
+
+    # -- the whole -------------------------------------------------------------------------
+
+    def differences(self, other: Project) -> DataFrame:
+        """``relation, key, status``: what ``other`` has more, less or otherwise, relation by relation."""
+        out = None
+        for name, (keys, attributes) in COMPARED.items():
+            flat = lambda p: p.get(name).select(*[F.col(c).cast("string").alias(c) for c in (*keys, *attributes)]).distinct()  # noqa: B023,E731  used at once
+            one = flat(self).groupBy(*keys).agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in attributes]) if attributes else flat(self)
+            two = flat(other).groupBy(*keys).agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in attributes]) if attributes else flat(other)
+            got = diff.diff(one, two, list(keys), list(attributes)).where("status <> 'same'").select(F.lit(name).alias("relation"), F.concat_ws(" ", *keys).alias("key"), "status", F.concat_ws(" ", "changed").alias("changed"))
+            out = got if out is None else out.unionByName(got)
+        return out
+
+
+VERSION = "2"
+#: Keys and attributes by which two projects' relations are compared.
+COMPARED = {
+    "pid_parents": (("id",), ("pid",)),
+    "cmds": (("id", "type"), ("in", "out", "opts")),
+    "cmd_edges": (("src", "dst"), ()),
+    "src_graph": (("file", "cmd_id"), ("used_by",)),
+    "functions": (("func", "file"), ("line", "type", "signature")),
+    "call_edges": (("from_file", "from_func", "to_file", "to_func", "line"), ("match",)),
+    "macro_defs": (("file", "name"), ("line",)),
+    "macro_exps": (("exp_file", "name", "exp_line"), ("def_file", "def_line")),
+    "macro_args": (("exp_file", "name"), ("args",)),
+}
+
+
+def write_meta(spark: SparkSession, folder: str, entries: dict[str, str]) -> None:
+    """Add entries to a folder's metadata; the last of a key counts."""
+    rows = [(k, str(v), time.time_ns()) for k, v in entries.items()]
+    spark.createDataFrame(rows, "key string, value string, at long").coalesce(1).write.mode("append").parquet(f"{folder}/meta")
+
+
+def read_meta(spark: SparkSession, folder: str) -> dict[str, str]:
+    rows = spark.read.parquet(f"{folder}/meta").groupBy("key").agg(F.max_by("value", "at").alias("value"))
+    return {r.key: r.value for r in rows.collect()}
+
+
+def folder_ok(spark: SparkSession, folder: str) -> bool:
+    """Whether a saved project's metadata, version and all its relations can be read."""
+    try:
+        meta = read_meta(spark, folder)
+        for key in meta:
+            if key.startswith("relation "):
+                spark.read.parquet(f"{folder}/{key.removeprefix('relation ')}").limit(1).count()
+    except AnalysisException:
+        return False
+    return meta.get("version") == VERSION
 
 
 # -- commands --------------------------------------------------------------------------------
 
 
+@relation()
+def pid_parents(p):
+    """Each command and the one that started it, where the log has that."""
+    own = p.raw.select(F.col("id").alias("pid"))
+    return p.raw.select("id", "pid").join(own, "pid", "left_semi").select("id", "pid")
+
+
 @relation()
 def pid_ancestor(p):
     return graph.ancestors(p.raw.select("id", "pid"))
@@ -125,20 +229,18 @@ def pid_ancestor(p):
 @relation()
 def all_cmds(p):
     """Every command of every type, with ``bad``; paths normalised after that is judged."""
-    raw, out = commands.unwrapped(p.raw), None
-    for kind in p.conf["types"]:
-        found = commands.parsed(commands.by_which(raw, p.conf["which"][kind]), kind)
-        out = found if out is None else out.unionByName(found)
+    kinds = commands.classified(commands.unwrapped(p.raw), {k: p.conf["which"][k] for k in p.conf["types"]})
+    out = commands.parsed(kinds, list(p.conf["types"]))
     judged = commands.bad(out, p.conf["exclude"], p.conf["exclude_in"], p.conf["include"], p.conf["exclude_out"], p.conf["ignore_cc1"])
     return checkpoint(commands.normalized(judged))
 
 
-@relation("all_cmds", "pid_ancestor")
-def cmds(p, every, up):
+@relation("all_cmds")
+def cmds(p, every):
     good = every.where("NOT bad").drop("bad")
     if not p.conf["filter_by_pid"]:
         return good
-    return checkpoint(graph.without_descendants(good, up, every.where("bad").select("id")))
+    return checkpoint(graph.without_descendants(good, p.raw.select("id", "pid"), every.where("bad").select("id")))
 
 
 @relation()
@@ -266,6 +368,14 @@ def call_edges(p, defs, sg):
     return checkpoint(got.select(F.col("ctx_file").alias("from_file"), F.col("ctx_func").alias("from_func"), "to_file", F.col("func").alias("to_func"), "line", "match", "args"))
 
 
+@relation("call_edges")
+def callgraph(p, edges):
+    """``file, func, side, other_file, other_func, lines, match``: each function's calls and callers, adjacency both ways."""
+    ends = lambda a, b, side: edges.select(F.col(f"{a}_file").alias("file"), F.col(f"{a}_func").alias("func"), F.lit(side).alias("side"), F.col(f"{b}_file").alias("other_file"), F.col(f"{b}_func").alias("other_func"), "line", "match")
+    both = ends("from", "to", "calls").unionByName(ends("to", "from", "called_in"))
+    return both.groupBy("file", "func", "side", "other_file", "other_func", "match").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+
+
 @relation("call_edges", "functions")
 def call_nodes(p, edges, funcs):
     ends = edges.select(F.col("from_file").alias("file"), F.col("from_func").alias("func")).union(edges.select("to_file", "to_func"))
@@ -303,6 +413,12 @@ def macro_exps(p, defs):
     return sourcecode.macro_expansions(fact(p, "expand").withColumnRenamed("macro", "name"), defs)
 
 
+@relation("macro_exps")
+def macro_uses(p, exps):
+    """Expansions by the file that has them: ``exp_file, def_file, name, lines``, each a line of expansion and one of definition."""
+    return exps.groupBy("exp_file", "def_file", "name").agg(F.array_sort(F.collect_set(F.struct("exp_line", "def_line"))).alias("lines"))
+
+
 @relation()
 def macro_args(p):
     rows = fact(p, "expand_args")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import argv, paths, text
 from .operators import commands, crossref, diff, graph, sourcecode
-from .plans.durable import folder
+from .plans.durable import checkpoint, folder
 from .sources import facts, logs
 from .streaming import ingest
 
@@ -47,12 +47,7 @@ CLOSE = EDGE + ", reach AS (SELECT src, dst FROM edge UNION SELECT r.src, e.dst
 
 def every(spark: SparkSession, d: str) -> DataFrame:
     """All commands of all types, parsed."""
-    raw = fx.raw(spark, d)
-    parts = [commands.parsed(commands.by_which(raw, p), t) for t, p in fx.WHICH.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return commands.parsed(commands.classified(fx.raw(spark, d), fx.WHICH), list(fx.WHICH))
 
 
 # -- logs ------------------------------------------------------------------------------------
@@ -200,7 +195,7 @@ def pid_ancestors(spark, d):
 @query(f"WITH RECURSIVE {FOREST}, c AS (SELECT event_id + 1 AS id FROM events WHERE event_type IN ('purchase', 'error')) SELECT id FROM c WHERE id NOT IN (SELECT up.id FROM up JOIN c ON up.ancestor = c.id)")
 def dedup_by_pid(spark, d):
     raw = fx.raw(spark, d)
-    return graph.without_descendants(commands.by_which(raw, fx.WHICH["MV"] + fx.WHICH["Objcopy"]).select("id"), graph.ancestors(raw.select("id", "pid")))
+    return graph.without_descendants(commands.by_which(raw, fx.WHICH["MV"] + fx.WHICH["Objcopy"]).select("id"), raw.select("id", "pid"))
 
 
 @query(f"WITH {EDGE} SELECT src, dst FROM edge")
@@ -239,26 +234,15 @@ def content_classes(spark, d):
     return commands.content_classes(fx.files(spark, d))
 
 
-@query("WITH f AS (SELECT '/src/' || source || '/d' || doc_id || '.c' AS path, md5(text) AS m, doc_id % 4 <> 0 AS s FROM documents), n AS (SELECT *, lead(path) OVER (ORDER BY path) AS nxt, lead(m) OVER (ORDER BY path) AS nm FROM f), p AS (SELECT path, nxt FROM n WHERE m = nm AND path <> nxt) SELECT path, nxt AS alt_path FROM p UNION SELECT nxt, path FROM p")
+@query("WITH f AS (SELECT doc_id AS k, '/src/' || source || '/d' || doc_id || '.c' AS path, md5(text) AS m FROM documents), g AS (SELECT m, min(k) AS k FROM f GROUP BY m), p AS (SELECT DISTINCT f.path AS a, f2.path AS b FROM f JOIN g USING (m) JOIN f f2 ON f2.k = g.k AND f2.m = f.m WHERE f.path <> f2.path UNION SELECT f.path, f2.path FROM f JOIN f f2 ON f2.k = f.k + 1 AND f2.m = f.m WHERE f.path <> f2.path) SELECT a AS path, b AS alt_path FROM p UNION SELECT b, a FROM p")
 def alternatives(spark, d):
+    """Every path is linked with the path of the smallest document of equal text, and with that of the next document."""
     files = fx.files(spark, d)
-    # Link commands between neighbours in path order: one pair a path.
-    ranked = files.select("path").distinct().repartitionByRange("path").sortWithinPartitions("path")
-    order = ranked.select("path", F.monotonically_increasing_id().alias("at"))
-    nxt = successors(order)
-    return commands.alternatives(files, nxt)
-
-
-def successors(order: DataFrame) -> DataFrame:
-    """``path, alt``: each path and the next, partition by partition and then over their edges."""
-    from pyspark.sql import Window as W
-
-    part = order.withColumn("p", F.shiftright("at", 33)).withColumn("i", F.col("at") % (1 << 33))
-    inner = part.withColumn("alt", F.lead("path").over(W.partitionBy("p").orderBy("i")))
-    firsts = part.where("i = 0").select(F.col("p").alias("fp"), F.col("path").alias("first"))
-    lasts = inner.where("alt IS NULL").select("path", "p")
-    edge = lasts.join(firsts, F.col("fp") > F.col("p")).groupBy("path").agg(F.min_by("first", "fp").alias("alt"))
-    return inner.where("alt IS NOT NULL").select("path", "alt").union(edge)
+    own = F.regexp_extract("path", r"/d(\d+)\.c$", 1).cast("bigint")
+    rows = files.select("path", "md5", own.alias("k"))
+    same = rows.join(rows.groupBy("md5").agg(F.min_by("path", "k").alias("alt")), "md5").select("path", "alt")
+    after = rows.select("path", (F.col("k") + 1).alias("k")).join(rows.select("k", F.col("path").alias("alt")), "k").select("path", "alt")
+    return commands.alternatives(files, same.union(after))
 
 
 @query("WITH f AS (SELECT '/src/' || source || '/d' || doc_id || '.c' AS path, md5(text) AS m, doc_id % 4 <> 0 AS s FROM documents), c AS (SELECT m, coalesce(max(path) FILTER (WHERE s), max(path)) AS canonical FROM f GROUP BY m) SELECT DISTINCT path, canonical FROM f JOIN c USING (m)")
@@ -413,8 +397,8 @@ TOKEN = SRCLINE + f", w AS (SELECT path, n, regexp_extract_all(t, '{WORD}') AS m
 
 @query(f"WITH {TOKEN} SELECT path, line, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(max(start + length(name)) AS INT) AS last, max(name) AS name FROM tok GROUP BY path, line")
 def token_positions(spark, d):
-    t = fx.source(spark, d).select("path", F.col("line_no").alias("line"), F.explode(text.tokens(F.col("text"))).alias("t"))
-    return t.groupBy("path", "line").agg(F.count("*").alias("n"), F.sum("t.start").alias("starts"), F.max("t.end").alias("last"), F.max("t.name").alias("name"))
+    t = text.token_rows(fx.source(spark, d).select("path", F.col("line_no").alias("line"), "text"))
+    return t.groupBy("path", "line").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.max("end").alias("last"), F.max("name").alias("name"))
 
 
 def places(spark, d):
@@ -422,7 +406,7 @@ def places(spark, d):
     src = fx.source(spark, d)
     word = src.select(F.col("path").alias("file"), F.col("line_no").alias("line"), F.regexp_extract("text", r"(?U)(\w+)", 1).alias("name")).where("name <> ''")
     defs, decls = word.where("line = 1"), word.where("line = 2")
-    occ = crossref.occurrences(crossref.locations(call=word, def_func=defs, decl_func=decls, def_macro=defs, expand=word), src)
+    occ = checkpoint(crossref.occurrences(crossref.locations(call=word, def_func=defs, decl_func=decls, def_macro=defs, expand=word), src))
     return word, defs, decls, occ
 
 
@@ -436,19 +420,25 @@ UNION ALL SELECT DISTINCT o.file, 'def_macro', o.line, start, "end", df.file, df
 def ref_to(spark, d):
     word, defs, decls, occ = places(spark, d)
     calls = word.select(F.col("file").alias("ctx_file"), F.col("name").alias("func"), F.col("file").alias("to_file"))
-    ends = defs.select(F.col("file").alias("f"), F.col("name").alias("m"), F.col("line").alias("def_line"))
-    expansions = word.join(ends, (F.col("file") == F.col("f")) & (F.col("name") == F.col("m"))).select(F.col("file").alias("exp_file"), "name", F.col("line").alias("exp_line"), F.col("f").alias("def_file"), "def_line")
+    expansions = expanded(word, defs)
     return crossref.ref_to(occ, calls, defs.select("file", F.col("name").alias("func"), "line"), decls.select(F.col("file").alias("def_file"), F.col("name").alias("func"), "file", "line"), expansions)
 
 
-@query(f"""WITH {XREF}, c AS (SELECT file, name, string_agg(CAST(line AS VARCHAR), ' ' ORDER BY line) AS ls FROM word GROUP BY file, name), one AS (SELECT file, line, name, min(start) AS start FROM o WHERE line = 1 GROUP BY ALL)
+def expanded(word, defs):
+    """Each word that its document's first line defines, as an expansion of a macro of that name."""
+    ends = defs.select(F.col("file").alias("f"), F.col("name").alias("m"), F.col("line").alias("def_line"))
+    return word.join(ends, (F.col("file") == F.col("f")) & (F.col("name") == F.col("m"))).select(F.col("file").alias("exp_file"), "name", F.col("line").alias("exp_line"), F.col("f").alias("def_file"), "def_line")
+
+
+@query(f"""WITH {XREF}, c AS (SELECT file, name, string_agg(CAST(line AS VARCHAR), ' ' ORDER BY line) AS ls FROM word GROUP BY file, name), x AS (SELECT w.file, w.name, string_agg(DISTINCT CAST(w.line AS VARCHAR), ' ' ORDER BY CAST(w.line AS VARCHAR)) AS xs FROM word w JOIN df ON w.file = df.file AND w.name = df.name WHERE w.line % 2 = 0 GROUP BY w.file, w.name), one AS (SELECT file, line, name, min(start) AS start FROM o WHERE line = 1 GROUP BY ALL)
 SELECT o.file, 'call' AS kind, o.line, start, "end", o.file AS from_file, ls AS from_lines FROM o JOIN c USING (file, name) WHERE o.line <= 2
-UNION ALL SELECT file, 'expand', line, start, CAST(start + length(name) AS INT), NULL, '' FROM one""")
+UNION ALL SELECT one.file, 'expand', line, start, CAST(start + length(one.name) AS INT), CASE WHEN xs IS NULL THEN NULL ELSE one.file END, coalesce(xs, '') FROM one LEFT JOIN x ON one.file = x.file AND one.name = x.name""")
 def ref_from(spark, d):
     word, defs, decls, occ = places(spark, d)
     calls = word.select("file", F.col("name").alias("func"), F.col("file").alias("ctx_file"), "line")
-    none = spark.createDataFrame([], "exp_file string, name string, exp_line int, def_file string, def_line int")
-    return crossref.ref_from(occ, calls, none).withColumn("from_lines", F.concat_ws(" ", F.col("from_lines").cast("array<string>")))
+    got = crossref.ref_from(occ, calls, expanded(word, defs).where("exp_line % 2 = 0"))
+    strings = F.col("from_lines").cast("array<string>")
+    return got.withColumn("from_lines", F.concat_ws(" ", F.when(F.col("kind") == "expand", F.array_sort(strings)).otherwise(strings)))
 
 
 # -- traces and differences ------------------------------------------------------------------
@@ -498,7 +488,7 @@ def diff_keys(spark, d):
 
 @query("SELECT 'warning: ' || event_type || ' in ' || (user_id % 20) AS warning, count(*) AS n FROM events GROUP BY 1")
 def warnings_dedup(spark, d):
-    return fx.table(spark, d, "events").groupBy(F.expr("concat('warning: ', event_type, ' in ', user_id % 20)").alias("warning")).agg(F.count("*").alias("n"))
+    return logs.warnings(fx.table(spark, d, "events").select(F.expr("concat('warning: ', event_type, ' in ', user_id % 20)").alias("warning")))
 
 
 @query(None)

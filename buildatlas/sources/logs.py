@@ -6,14 +6,19 @@ are numbered within their split, and a row per split says what comes before it.
 
 from __future__ import annotations
 
+import codecs
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import sized, stored
+
 SEPARATOR = "||"
 
 
 def fields(line: Column) -> Column:
-    return F.split(F.trim(line), r"\|\|")
+    return F.split(F.regexp_replace(line, r"^\s+|\s+$", ""), r"\|\|")
 
 
 def parse_commands(lines: DataFrame) -> DataFrame:
@@ -28,14 +33,19 @@ def join_commands(cmds: DataFrame) -> DataFrame:
 
 
 def numbered(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
-    """``(id, line)`` of one text file's records, numbered from 1, blank ones too."""
+    """``(id, line)`` of the records of a text file, or of a folder's files in the order of their names; from 1, blank ones too.
+
+    The numbered splits are stored, so what says how many records come before
+    a split and the records themselves are of one reading.
+    """
     read = spark.read.option("lineSep", separator).text(path)
     # Numbers follow each other within a split, whatever else its task reads.
-    rows = read.select(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"))
+    rows = stored(read.select(split.alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")))
     splits = rows.groupBy("split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     earlier = F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("split", "first", F.coalesce(earlier, F.lit(0)).alias("before"))  # a row for each split of the log
-    placed = rows.join(F.broadcast(splits), "split")
+    placed = rows.join(sized(splits), "split")
     return placed.select((F.col("at") - F.col("first") + F.col("before") + 1).alias("id"), "line")
 
 
@@ -56,7 +66,7 @@ def ends_with(spark: SparkSession, path: str, tail: bytes) -> bool:
 
 def read_commands(spark: SparkSession, path: str) -> DataFrame:
     """Commands of a log file; an empty or missing log is an error."""
-    cmds = parse_commands(numbered(spark, path).where("trim(line) <> ''"))
+    cmds = parse_commands(numbered(spark, path).where(F.trim("line") != ""))
     if cmds.isEmpty():
         raise RuntimeError(f"no commands in {path}")
     return cmds
@@ -82,6 +92,21 @@ def read_envs(spark: SparkSession, path: str) -> DataFrame:
     return parse_envs(blocks)
 
 
+def env_ends(envs: DataFrame) -> DataFrame:
+    """First and last block of parsed environments."""
+    return envs.agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def count_with(lines: DataFrame, text: str) -> DataFrame:
+    """How many lines hold ``text``, such as a tool's message of failure."""
+    return lines.where(F.col("line").contains(text)).agg(F.count("*").alias("n"))
+
+
+def warnings(found: DataFrame) -> DataFrame:
+    """``warning, n`` by falling number, then by text."""
+    return found.groupBy("warning").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "warning")
+
+
 def parse_opens(lines: DataFrame) -> DataFrame:
     f = F.split("line", " ", 4)
     return lines.select(f[0].cast("bigint").alias("cmd_id"), (f[1] == "1").alias("existed"), f[2].cast("int").alias("flags"), f[3].alias("path"))
@@ -93,7 +118,44 @@ def source_lines(files: DataFrame) -> DataFrame:
     return files.where("content <> ''").select("path", F.posexplode(lines).alias("at", "text")).select("path", (F.col("at") + 1).alias("line_no"), "text")
 
 
-def stored_files(spark: SparkSession, root: str, encoding: str = "UTF-8") -> DataFrame:
-    """Files below ``root`` as ``path, content, md5``, line ends unified."""
+def stored_files(spark: SparkSession, root: str, encoding: str | None = "UTF-8") -> DataFrame:
+    """Files below ``root`` as ``path, content, md5``, line ends unified; without ``encoding`` each file's is detected."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.replace(F.decode("content", encoding), F.lit("\r\n"), F.lit("\n")).alias("content"), F.md5("content").alias("md5"))
+    return files.select("path", decoded(F.col("content"), encoding).alias("content"), F.md5("content").alias("md5"))
+
+
+def decoded(content: Column, encoding: str | None = None) -> Column:
+    """Text of bytes with line ends unified; Arrow batches, for Java's functions know few encodings.
+
+    Without ``encoding``: what a byte order mark says; else UTF-8 where the
+    bytes are valid UTF-8, and Windows-1251 where they aren't.
+    """
+
+    def one(data: bytes | None) -> str | None:
+        if data is None:
+            return None
+        if encoding is not None:
+            text = data.decode(encoding, "replace")
+        elif data.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
+            text = data.decode("utf-16", "replace")
+        else:
+            try:
+                text = data.decode("utf-8-sig")
+            except UnicodeDecodeError:
+                text = data.decode("windows-1251", "replace")
+        return text.replace("\r\n", "\n")
+
+    @F.pandas_udf("string")
+    def of(batch: pd.Series) -> pd.Series:
+        return batch.map(one)
+
+    return of(content)
+
+
+def store_files(files: DataFrame, store: str) -> None:
+    """``path, content`` added to a store; paths that it has already stay as they are."""
+    new = files.select("path", "content").dropDuplicates(["path"]).withColumn("md5", F.md5(F.col("content").cast("binary")))
+    spark = files.sparkSession
+    if spark._jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(store)):
+        new = new.join(spark.read.parquet(store).select("path"), "path", "left_anti")
+    new.write.mode("append").parquet(store)

@@ -62,8 +62,9 @@ def test_option_filter(spark):
 
 def test_tokens(spark, sf_dir):
     lines = [l for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect() for l in r.text.split("\n")][:400] + ["", "é__x-1 ü", "  "]
-    got = column(spark, lines, text.tokens)
-    assert [[(t["name"], t["start"], t["end"]) for t in g] for g in got] == [[(m[0], m.start(), m.end()) for m in re.finditer(r"\w+", l)] for l in lines]
+    rows = text.token_rows(spark.createDataFrame(list(enumerate(lines)), "at long, text string"))
+    got = sorted(tuple(r) for r in rows.select("at", "start", "end", "name").collect())
+    assert got == sorted((i, m.start(), m.end(), m[0]) for i, l in enumerate(lines) for m in re.finditer(r"\w+", l))
 
 
 def test_small_scalars(spark):
