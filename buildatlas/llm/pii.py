@@ -10,9 +10,11 @@ in any document, outside of entities, becomes an added span: ``term`` (to be
 removed) or, where it discloses several entities, ``hint`` (to be generalised).
 
 Defined cases: a term is a word of three characters or more that begins with a
-letter, case ignored; words inside entities count as seen. Null text counts as
-empty; repeated rows and ids each give a row and count as a document each;
-empty tables give none; extra columns are ignored.
+letter, case ignored; words inside entities count as seen. Measures equal to a
+threshold (ties) disclose. Null text counts as empty; texts of any length are
+read whole; repeated rows and ids and null ids each give a row and count as a
+document each; empty tables give none; extra columns are ignored by ``digest``
+and carried along by ``sanitise``.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import checkpoint, sized, stored
+from .common import checkpoint, sized, spread, stored
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -71,7 +73,7 @@ def told(found: DataFrame, bits: float, share: float, support: int) -> DataFrame
     n, gain = found.count(), 2.0**bits
     held = checkpoint(found.where(F.size("base") > 0).select("rid", F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], s["value"])))).alias("e")))
     n_e = held.groupBy("e").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") * gain <= n))
-    held = checkpoint(held.join(n_e, "e"))
+    held = checkpoint(spread(held, n_e, ["e"]))
     near = found.where(F.size("base") > 0).select("rid", "t").join(held.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(terms(F.col("t"))).alias("t"))
     around = sized(near.groupBy("t").agg(F.count("*").alias("n_around")).where(F.col("n_around") >= support))
     # Document frequencies of the candidate terms, over all documents.

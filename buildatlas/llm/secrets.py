@@ -6,9 +6,11 @@ the first ``/``). A value that many owners hold is a copied example, one that
 few hold looks live. A live value is also found where it stands without its
 keyword, as span ``reuse``.
 
-Defined cases: null text counts as empty; null source is an owner of its own;
-repeated rows and repeated ids each give a row; empty tables give none; extra
-columns of the input are ignored.
+Defined cases: null text counts as empty; texts of any length are scanned whole;
+null source is an owner of its own; a value that exactly ``example_owners`` hold
+(a tie) is an example; repeated rows, repeated ids and null ids each give a row;
+empty tables give none; extra columns of the input are ignored by ``digest`` and
+carried along by ``mask``.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import checkpoint, stored
+from .common import checkpoint, spread, stored
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
@@ -50,7 +52,7 @@ def classed(found: DataFrame, example_owners: int) -> DataFrame:
     held = cand.groupBy("h", "source").agg(F.max(F.col("s.ord") < 3).alias("keyed")).select("h", "source", owner, "keyed")
     freq = held.groupBy("h").agg(F.max("keyed").alias("keyed"), F.count("*").alias("repos"), F.count_distinct("owner").alias("owners"))
     known = freq.where("keyed").select("h", "repos", "owners")
-    marked = cand.join(known, "h").select("rid", F.struct("s.*").alias("s"), (F.col("owners") < example_owners).alias("live"))
+    marked = spread(cand, known, ["h"]).select("rid", F.struct("s.*").alias("s"), (F.col("owners") < example_owners).alias("live"))
     agg = marked.groupBy("rid").agg(F.collect_list(F.when(F.col("live"), F.col("s"))).alias("live"))
     joined = found.join(agg, "rid", "left")
     live = F.coalesce(F.col("live"), F.array().cast(spans.SPAN))

@@ -90,6 +90,13 @@ def test_stages_take_clashing_columns_and_nulls(spark, sf_dir):
     assert simhash.keep(docs).count() == 2
 
 
+def test_packing_keeps_large_null_and_repeated_ids(spark):
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "a b"), (None, "c"), (big, "other"), (None, None)], "doc_id long, text string")
+    got = packing.pack(docs, tokenizer()).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1152921504606846977", "1152921504606846977", "None", "None"] and len({(r.sequence_id, r.offset) for r in got}) == 4
+
+
 def test_stages_take_empty_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
