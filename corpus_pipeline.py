@@ -4,6 +4,12 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, with the
 columns of documents for all but the last. ``run`` writes every stage's result
 as Parquet in the folder that ``spark.checkpoint.dir`` names and reads it
 again, so a lost executor never costs more than a stage.
+
+Defined cases, of all stages: a null text counts as an empty one; texts of any
+length are taken whole; rows are judged one by one, so repeated and null ids do
+no harm; extra columns are carried along, whatever their names; an empty table
+gives an empty one. Equal rows share their fate but in ``near_dedup``, where one
+of them stays, and of ties in a group the smallest id.
 """
 
 from __future__ import annotations
