@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import HOT_SHARE, checkpoint, folder, sized, spread, stored
 
-__all__ = ["KEY", "SPACE", "checkpoint", "components", "documents", "folder", "held_out", "keyed", "labelled_sample", "let", "sized", "spread", "stored", "without", "words"]
+__all__ = ["KEY", "SPACE", "checkpoint", "components", "documents", "folder", "held_out", "keyed", "labelled_sample", "let", "sized", "slices", "spread", "stored", "without", "words"]
 
 #: ASCII white space, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows whose texts a Python worker holds as strings at a time.
+SLICE = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """All rows of ``batches`` in order, ``rows`` at a time; what comes of a slice can leave before the next one's texts are made strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

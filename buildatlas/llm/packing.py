@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, slices
 
 SIZE, END = 1024, 2
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer.value)
-        for batch in batches:
+        for batch in slices(batches):
             of, rows = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = encode(text) + END.to_bytes(4, "little")

@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample
+from .common import held_out, labelled_sample, slices
 
 DIMS = 1 << 12
 THRESHOLD = 0.3
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 PUNCT = re.compile(r"[^\w\s]+")
+#: Words whose terms a worker remembers; beyond, they are worked out anew.
+REMEMBERED = 50_000
 
 
 HALF = DIMS // 2
@@ -65,7 +67,7 @@ def parts(word: str) -> tuple[int, ...]:
 
 def bag(text: str, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """Terms of a text with their log frequencies per 200 words; a word that follows itself is a term too."""
-    if len(known) > 300_000:
+    if len(known) > REMEMBERED:
         known.clear()
     words = text.split()
     ids: list[int] = []
@@ -164,7 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = model.value
-        for batch in batches:
+        for batch in slices(batches):
             p = voters.score([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -178,7 +180,7 @@ def keep(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataFrame:
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = model.value
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(voters.score([t or "" for t in batch.column(at).to_pylist()]) >= THRESHOLD))
 
     return docs.mapInArrow(good, docs.schema)

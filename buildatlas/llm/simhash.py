@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, components, keyed, sized, spread, stored, without
+from .common import KEY, components, keyed, sized, slices, spread, stored, without
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 WIDTHS, SHIFTS = (13, 13, 13, 13, 12), (0, 13, 26, 39, 52)
@@ -203,7 +203,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id``, the key columns and ``fp`` per row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *KEY)), pa.array(fp)], names=["doc_id", *KEY, "fp"])
 

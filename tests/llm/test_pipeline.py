@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -102,3 +103,34 @@ def test_stages_take_empty_tables(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_workers_hold_few_texts_at_a_time(spark, monkeypatch):
+    """The passes over texts, each fed all rows as one batch: what Python holds stays far below the texts' size."""
+    n, text = 4000, ("w" * 99 + " ") * 200
+    docs = spark.range(n).selectExpr("id AS doc_id", f"concat(repeat('{text[:100]}', 200), id) AS text")
+    known = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    passes, whole = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a, **b: passes.append((self, f)) or whole(self, f, schema, *a, **b))
+    quality.keep(docs, known)
+    quality.classify(docs, known)
+    simhash.fingerprints(docs)
+    packing.pieces(docs, tokenizer())
+    assert len(passes) == 4
+    for df, f in passes:
+        batch = df.toArrow().combine_chunks().to_batches()[0]
+        assert batch.num_rows == n
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in f(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows >= n and most < n * len(text) / 2
+
+
+def test_words_not_remembered_score_the_same(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    voters, texts = quality.learn(docs, labels(spark, sf_dir)), [r.text or "" for r in docs.collect()]
+    want = voters.score(texts)
+    monkeypatch.setattr(quality, "REMEMBERED", 10)
+    voters.__dict__.pop("_known")
+    assert voters.score(texts).tolist() == want.tolist() and len(voters.__dict__["_known"]) < 2000
