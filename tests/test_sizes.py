@@ -1,8 +1,14 @@
-"""What has to stay true when tables grow: how work is cut and what is joined with what."""
+"""What has to stay true when tables grow: how work is cut, what is read once, what is joined with what."""
+
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from buildatlas import workshop
+from buildatlas.functions import text
+from buildatlas.operators import crossref, graph
+from buildatlas.plans.project import Project
 
 
 def suppliers(spark, path, n):
@@ -10,10 +16,22 @@ def suppliers(spark, path, n):
     return str(path)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_builds_are_dealt_over_tasks(spark, tmp_path):
     """The suppliers of one small file aren't built in one task."""
-    d = suppliers(spark, tmp_path, 1200)
-    log = workshop.log(spark, d)
+    n = 2 * workshop.BUILDS + 200
+    log = workshop.log(spark, suppliers(spark, tmp_path, n))
     sizes = log.groupBy(F.spark_partition_id()).count().collect()
-    assert len(sizes) == 3 and max(r["count"] for r in sizes) < 600 * len(workshop.LOG)
-    assert log.select("id").distinct().count() == 1200 * len(workshop.LOG) == log.count()
+    assert len(sizes) == 3 and max(r["count"] for r in sizes) < n / 2 * len(workshop.LOG)
+    assert log.select("id").distinct().count() == n * len(workshop.LOG) == log.count()
+
+
+def test_each_pair_of_ancestors_is_made_once(spark):
+    """A row a way, as the SQL's UNION ALL has it; nothing is made twice and thrown away."""
+    forest = spark.createDataFrame([(1, 0), (2, 1), (2, 1), (3, 2), (4, 3), (9, 20)], "id long, pid long")
+    up = graph.ancestors(forest)
+    assert sorted(map(tuple, up.collect())) == sorted([(1, 0, 1), *[(2, 1, 1), (2, 0, 2)] * 2, (3, 2, 1), *[(3, 1, 2), (3, 0, 3)] * 2, (4, 3, 1), (4, 2, 2), *[(4, 1, 3), (4, 0, 4)] * 2])
+    assert graph.ancestors(forest.where("id = 9")).isEmpty()
