@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 WORD = re.compile(r"\w+")
 
@@ -46,6 +46,49 @@ def token_rows(df: DataFrame, line: str = "text") -> DataFrame:
     return df.mapInArrow(cut, StructType([*(df.schema[c] for c in kept), *(StructField(n, t) for n, t in (("name", StringType()), ("start", IntegerType()), ("end", IntegerType())))]))
 
 
+#: Lines whose words a worker holds at a time.
+LINES = 256
+#: Names up to which a line is searched for each; for more it is cut into all its words.
+FEW = 4
+
+
+def line_words(df: DataFrame, line: str = "text") -> DataFrame:
+    """``df`` without ``line``, and ``words``: name, start and end of each of its words, as ``token_rows`` has them, in one row."""
+    kept = [c for c in df.columns if c != line]
+    word = pa.struct([("name", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, LINES):
+                batch = whole.slice(begin, LINES)
+                offsets, names, spans = [0], [], []
+                for text in batch.column(line).to_pylist():
+                    names += WORD.findall(text or "")
+                    spans += [m.span() for m in WORD.finditer(text or "")]
+                    offsets.append(len(names))
+                starts, ends = zip(*spans) if spans else ((), ())
+                words = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], fields=list(word))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words)], names=[*kept, "words"])
+
+    fields = StructType([StructField("name", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
+    return df.mapInArrow(cut, StructType([*(df.schema[c] for c in kept), StructField("words", ArrayType(fields))]))
+
+
+def places(line: str, names: list[str]) -> Iterator[tuple[str, int, int]]:
+    """``name, start, end`` of each place where one of the distinct ``names`` is a whole word of ``line``."""
+    if len(names) > FEW:
+        wanted = set(names)
+        yield from ((m[0], m.start(), m.end()) for m in WORD.finditer(line) if m[0] in wanted)
+        return
+    for name in names:
+        at = line.find(name) if WORD.fullmatch(name) else -1
+        while at >= 0:
+            end = at + len(name)
+            if not WORD.match(line[at - 1 : at]) and not WORD.match(line[end : end + 1]):
+                yield name, at, end
+            at = line.find(name, end)
+
+
 def loc(content: Column) -> Column:
     """Number of newline-ended records; a last line without newline counts."""
     newlines = F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit("")))

@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from buildatlas import workshop
 from buildatlas.functions import text
 from buildatlas.operators import crossref, graph
+from buildatlas.plans.durable import materialised
 from buildatlas.plans.project import Project
 
 
@@ -35,3 +36,11 @@ def test_each_pair_of_ancestors_is_made_once(spark):
     up = graph.ancestors(forest)
     assert sorted(map(tuple, up.collect())) == sorted([(1, 0, 1), *[(2, 1, 1), (2, 0, 2)] * 2, (3, 2, 1), *[(3, 1, 2), (3, 0, 3)] * 2, (4, 3, 1), (4, 2, 2), *[(4, 1, 3), (4, 0, 4)] * 2])
     assert graph.ancestors(forest.where("id = 9")).isEmpty()
+
+
+def test_words_of_a_line_in_one_row(spark):
+    lines = spark.createDataFrame([(1, "a_b  c, é1"), (2, ""), (3, None), (4, "x" * 9), (5, "...")] + [(i, f"w{i} w{i}") for i in range(6, 700)], "k int, text string")
+    found = text.line_words(lines)
+    assert found.count() == lines.count()
+    each = sorted((r.k, r.name, r.start, r.end) for r in text.token_rows(lines).collect())
+    assert sorted((r.k, *w) for r in found.collect() for w in r.words) == each
