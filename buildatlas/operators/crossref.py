@@ -9,23 +9,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.durable import stored
 
 
 def locations(**kinds: DataFrame) -> DataFrame:
-    """Distinct ``file, line, name, kind``; each argument is a kind's ``(file, line, name)``."""
+    """``file, line, name, kind``; each argument is a kind's ``(file, line, name)``. Repeats stay: ``occurrences`` takes them as one."""
     parts = [df.select("file", "line", "name", F.lit(kind).alias("kind")).where("line IS NOT NULL") for kind, df in kinds.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return out
 
 
 def occurrences(wanted: DataFrame, lines: DataFrame) -> DataFrame:
-    """``file, line, name, kind, start, end`` of the words in ``lines(path, line_no, text)``; a macro's definition once a line."""
-    # One row a line, so that each line is cut into words once.
-    asked = wanted.groupBy("file", "line").agg(F.collect_set(F.struct("name", "kind")).alias("asked"))
-    at = asked.join(lines, (F.col("file") == F.col("path")) & (F.col("line") == F.col("line_no")))
-    found = at.select("file", "line", "asked", "text").mapInArrow(_words, "file string, line int, name string, kind string, start int, end int")
+    """``file, line, name, kind, start, end`` of the words in ``lines(path, line_no, text)``; a macro's definition once a line.
+
+    Found words are stored, so lines are read and cut once, whatever follows.
+    """
+    # One row a line, so that each line is cut into words once. Kinds come from different tables, so sets made before
+    # rows meet would hold one kind each, at the cost of a sort. Texts are never broadcast, whatever size Spark guesses.
+    asked = wanted.repartition("file", "line").groupBy("file", "line").agg(F.collect_set(F.struct("name", "kind")).alias("asked"))
+    at = asked.join(lines.hint("merge"), (F.col("file") == F.col("path")) & (F.col("line") == F.col("line_no")))
+    found = stored(at.select("file", "line", "asked", "text").mapInArrow(_words, "file string, line int, name string, kind string, start int, end int"))
     first = found.where("kind = 'def_macro'").groupBy("file", "line", "name", "kind").agg(F.min_by(F.struct("start", "end"), "start").alias("t"))
     return found.where("kind <> 'def_macro'").unionByName(first.select("file", "line", "name", "kind", "t.start", "t.end"))
 
@@ -37,10 +42,10 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds: dict[str, list[str]] = {}
             for a in asked:
                 kinds.setdefault(a["name"], []).append(a["kind"])
-            for m in text.WORD.finditer(line):
-                for kind in kinds.get(m[0], ()):
+            for name, start, end in text.places(line, list(kinds)):
+                for kind in kinds[name]:
                     at.append(i)
-                    rows.append((m[0], kind, m.start(), m.end()))
+                    rows.append((name, kind, start, end))
         of = pa.array(at, pa.int32())
         name, kind, start, end = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([batch.column("file").take(of), batch.column("line").cast(pa.int32()).take(of), pa.array(name, pa.string()), pa.array(kind, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["file", "line", "name", "kind", "start", "end"])

@@ -44,3 +44,12 @@ def test_words_of_a_line_in_one_row(spark):
     assert found.count() == lines.count()
     each = sorted((r.k, r.name, r.start, r.end) for r in text.token_rows(lines).collect())
     assert sorted((r.k, *w) for r in found.collect() for w in r.words) == each
+
+
+def test_words_are_cut_once(spark):
+    """Occurrences are stored: what filters them by kind doesn't cut the lines again."""
+    wanted = spark.createDataFrame([("f", 1, "ab", k) for k in ("call", "expand", "def_macro", "call")], "file string, line int, name string, kind string")
+    found = crossref.occurrences(wanted, spark.createDataFrame([("f", 1, "ab(ab, cab, ab_)")], "path string, line_no int, text string"))
+    assert "MapInArrow" not in plan(found)
+    assert sorted((r.kind, r.start, r.end) for r in found.collect()) == [("call", 0, 2), ("call", 3, 5), ("def_macro", 0, 2), ("expand", 0, 2), ("expand", 3, 5)]
+    assert sorted(text.places("a ba a_ a", ["a", "."])) == sorted(text.places("a ba a_ a", ["a", ".", "x", "y", "z"])) == [("a", 0, 1), ("a", 8, 9)]
