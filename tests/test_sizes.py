@@ -53,3 +53,10 @@ def test_words_are_cut_once(spark):
     assert "MapInArrow" not in plan(found)
     assert sorted((r.kind, r.start, r.end) for r in found.collect()) == [("call", 0, 2), ("call", 3, 5), ("def_macro", 0, 2), ("expand", 0, 2), ("expand", 3, 5)]
     assert sorted(text.places("a ba a_ a", ["a", "."])) == sorted(text.places("a ba a_ a", ["a", ".", "x", "y", "z"])) == [("a", 0, 1), ("a", 8, 9)]
+
+
+def test_dot_reads_its_edges_once(spark, tmp_path):
+    spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c")], "src string, dst string").write.parquet(f"{tmp_path}/e")
+    lines = graph.dot(spark.read.parquet(f"{tmp_path}/e"))
+    assert plan(lines).count("FileScan") == 1
+    assert len(lines.collect()) == 5 and sum("->" in r.line for r in lines.collect()) == 2
