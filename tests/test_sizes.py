@@ -55,6 +55,18 @@ def test_words_are_cut_once(spark):
     assert sorted(text.places("a ba a_ a", ["a", "."])) == sorted(text.places("a ba a_ a", ["a", ".", "x", "y", "z"])) == [("a", 0, 1), ("a", 8, 9)]
 
 
+def test_a_common_value_is_saved_by_several_tasks(spark, tmp_path):
+    p = Project(spark, spark.range(1))
+    p._built["cmds"] = spark.range(40_000).select("id", F.when(F.col("id") % 100 == 0, "LN").otherwise("CC").alias("type"), F.expr("sha2(cast(id AS string), 256)").alias("x")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        p.save(str(tmp_path), "cmds", by="type")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list(Path(tmp_path, "cmds/type=CC").glob("*.parquet"))) > 1
+    assert Project.load(spark, str(tmp_path), "cmds").count() == 40_000 and Project.load(spark, str(tmp_path), "cmds", type=["LN"]).count() == 400
+
+
 def test_dot_reads_its_edges_once(spark, tmp_path):
     spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c")], "src string, dst string").write.parquet(f"{tmp_path}/e")
     lines = graph.dot(spark.read.parquet(f"{tmp_path}/e"))
