@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans.durable import sized, stored
+from ..plans.durable import stored
 
 
 @dataclass(frozen=True)
@@ -56,8 +56,8 @@ def typed(name: str, c: Column) -> Column:
 def parse(lines: DataFrame, kind: str, canonical: DataFrame | None = None) -> DataFrame:
     """``(line)`` to the typed relation of ``kind``; a line that doesn't match is an error.
 
-    ``canonical(path, canonical)`` replaces the paths of facts; it is broadcast
-    if its counted rows allow it.
+    ``canonical(path, canonical)`` replaces the paths of facts; it may leave out
+    paths that stay, and is best counted once for all kinds, as ``sized`` does.
     """
     fact = FACTS[kind]
     # Two patterns are run a line: one that tests it, and one that brings all groups, parted by a character no log has.
@@ -71,7 +71,6 @@ def parse(lines: DataFrame, kind: str, canonical: DataFrame | None = None) -> Da
         out.append(typed(name, c).alias(name))
     got = lines.select(F.inline(F.array(F.struct(groups.alias("__g"))))).select(*out)
     if canonical is not None and any(n.endswith("file") for n in fact.columns):
-        canonical = sized(canonical)
         for name in fact.columns:
             if name.endswith("file"):
                 known = canonical.select(F.col("path").alias(name), F.col("canonical").alias("__c"))

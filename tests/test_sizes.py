@@ -38,6 +38,23 @@ def test_each_pair_of_ancestors_is_made_once(spark):
     assert graph.ancestors(forest.where("id = 9")).isEmpty()
 
 
+def test_guessed_sizes_are_dropped(spark, tmp_path):
+    """Rows of a small file that became many are not broadcast by the file's size."""
+    spark.range(10).write.parquet(f"{tmp_path}/t")
+    many = materialised(spark.read.parquet(f"{tmp_path}/t").select(F.explode(F.sequence(F.lit(0), F.lit(999))).alias("k"), "id"))
+    assert many.count() == 10_000 and many.columns == ["k", "id"]
+    assert "BroadcastHashJoin" not in plan(many.join(many.groupBy("k").count(), "k"))
+    assert many.join(many.groupBy("k").count(), "k").agg(F.sum("count")).first()[0] == 100_000
+
+
+def test_only_renamed_paths_are_sent(spark, tmp_path):
+    """Of a build's files only those that another stands for meet the facts."""
+    d = suppliers(spark, tmp_path, 3)
+    p = Project(spark, workshop.log(spark, d), files=workshop.files(spark, d))
+    assert sorted((r.path, r.canonical) for r in p.get("renamed").collect()) == [(f"/b{i}/link.c", f"/b{i}/lamp.c") for i in (1, 2, 3)]
+    assert "FileScan" not in plan(p.get("canonical"))
+
+
 def test_words_of_a_line_in_one_row(spark):
     lines = spark.createDataFrame([(1, "a_b  c, é1"), (2, ""), (3, None), (4, "x" * 9), (5, "...")] + [(i, f"w{i} w{i}") for i in range(6, 700)], "k int, text string")
     found = text.line_words(lines)
