@@ -89,3 +89,8 @@ def test_dot_reads_its_edges_once(spark, tmp_path):
     lines = graph.dot(spark.read.parquet(f"{tmp_path}/e"))
     assert plan(lines).count("FileScan") == 1
     assert len(lines.collect()) == 5 and sum("->" in r.line for r in lines.collect()) == 2
+
+
+def test_reads_and_writes_are_read_once(spark, sf_dir):
+    """Reads, writes and users are stored before several joins use them."""
+    assert "lineitem" not in plan(entry.queries()["files_linked"](spark, sf_dir))
